@@ -59,7 +59,9 @@ def interaction_features(df: DataFrame) -> DataFrame:
     users = codes_by_value(summary, "customer_id", "normalized_customer_id")
     items = codes_by_appearance(summary, "material", "customer_id", "product_id")
     coded = lookup(summary, users, "customer_id", "normalized_customer_id", spread="material")
-    coded = lookup(coded, items, "material", "product_id", spread="customer_id")
+    coded = lookup(
+        coded, items, "material", "product_id", spread="customer_id", sized_by=summary
+    )
     return coded.select(
         "customer_id", "normalized_customer_id", "material", "product_id",
         "transaction_count", "quantity_sum", "first_purchase", "last_purchase",
@@ -99,24 +101,22 @@ def profile(df: DataFrame, *order: str) -> DataFrame:
     )
 
 
-def shift_years(df: DataFrame, columns: Sequence[str], *order: str) -> DataFrame:
+def shift_years(
+    df: DataFrame, columns: Sequence[str], *order: str, ends_of: DataFrame | None = None
+) -> DataFrame:
     """Move each date column by the years between its second and its last row.
 
     Rows are taken in the given order; each column has its own difference.
-    The two end rows are a top-2 and a top-1, not a sort of the table.
+    The two end rows are a top-2 and a top-1, not a sort of the table.  They
+    are read from ``ends_of`` when the same dates lie ready there.
     """
-    second = df.orderBy(*order).limit(2)
-    last_row = df.agg(
-        F.max_by(F.struct(*columns), F.struct(*order)).alias("last")
-    )
-    shifted = df
-    for name in columns:
-        at_second = second.agg(F.max_by(name, F.struct(*order))).scalar()
-        at_last = last_row.select(F.col("last")[name]).scalar()
-        shifted = shifted.withColumn(
-            name, plus_years(F.col(name), F.year(at_last) - F.year(at_second))
-        )
-    return shifted
+    rows = df if ends_of is None else ends_of
+    last = F.max_by(F.struct(*columns), F.struct(*order))
+    at_second = rows.orderBy(*order).limit(2).agg(last).scalar()
+    at_last = rows.agg(last).scalar()
+    return df.withColumns(
+        {c: plus_years(F.col(c), F.year(at_last[c]) - F.year(at_second[c])) for c in columns}
+    )
 
 
 def equal_width_ratings(
@@ -212,7 +212,10 @@ def quantile_edges(counts: DataFrame, parts: Mapping[str, int]) -> DataFrame:
 
 
 def quantile_histogram(df: DataFrame, parts: Mapping[str, int]) -> DataFrame:
-    """Rows per quantile bin: (name, bin, low, high, n); bins are right-closed."""
+    """Rows per quantile bin: (name, bin, low, high, n); bins are right-closed.
+
+    A constant column has a single edge and therefore no bins.
+    """
     counts = materialize(value_counts(df, list(parts)), "value-counts")
     edges = quantile_edges(counts, parts)
     # One row per column, at most parts+1 edges in it.
@@ -221,7 +224,7 @@ def quantile_histogram(df: DataFrame, parts: Mapping[str, int]) -> DataFrame:
         F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("value")))),
     )
     filled = rows.groupBy("name", "bin").agg(F.sum("n").alias("n"))
-    bins = edges.select(
+    bins = edges.where(F.size("edges") > 1).select(
         "name", "edges", F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bin")
     ).select(
         "name", "bin",

@@ -15,6 +15,7 @@ from tillwise.functions.hashing import digest, draw
 from tillwise.operators.curate import positive_pairs, without_keys_of
 from tillwise.operators.features import first_present, shift_years
 from tillwise.operators.ranking import first_rows, global_rank, hash_rank
+from tillwise.operators.skew import hot_keys, spread_join
 from tillwise.operators.splits import time_chunks
 from tillwise.scratch import materialize
 
@@ -65,21 +66,22 @@ def grow(
     item are looked up again at the end, and the span is recomputed.
     """
     order = [first, last, user, item]
-    columns = features.columns
+    labels = [c for c in ("material", "normalized_customer_id") if c in features.columns]
+    columns = [c for c in features.columns if c not in labels]
     _check_room(features, user, item, size)
-    grown = materialize(features, "grow")
+    grown = materialize(features.select(*columns), "grow")
     n = grown.count()
     for step in range(1, max_rounds + 1):
         if n >= size:
             break
-        made = materialize(synthetic_rows(grown, user, item, order, f"grow{step}"), "synthetic")
-        moved = shift_years(made, [first, last], "position")
-        together = grown.select(*columns, F.lit(0).alias("_generation"), F.lit(0).cast("bigint").alias("_position")).unionByName(
-            moved.select(*columns, F.lit(1).alias("_generation"), F.col("position").alias("_position"))
+        made = synthetic_rows(grown, user, item, order, f"grow{step}")
+        moved = shift_years(made, [first, last], *order, ends_of=grown)
+        together = grown.select(*columns, F.lit(-1).cast("bigint").alias("_age")).unionByName(
+            moved.select(*columns, F.col("position").alias("_age"))
         )
+        # A number as order keeps the aggregate in its hash form.
         merged = first_present(
-            together, [user, item], F.struct("_generation", "_position"),
-            [c for c in columns if c not in (user, item)],
+            together, [user, item], F.col("_age"), [c for c in columns if c not in (user, item)]
         )
         grown = materialize(merged.select(*columns), "grow")
         before, n = n, grown.count()
@@ -93,10 +95,10 @@ def grow(
 def _relabel(grown: DataFrame, features: DataFrame, user: str, item: str) -> DataFrame:
     """Set the material of each item code and the code of each user again."""
     fixed = grown
-    for key, label in ((item, "material"), (user, "normalized_customer_id")):
+    for key, label, other in ((item, "material", user), (user, "normalized_customer_id", item)):
         if label in features.columns:
             labels = features.groupBy(key).agg(F.any_value(label).alias(label))
-            fixed = fixed.drop(label).join(labels, key)
+            fixed = spread_join(fixed, labels, key, [other], hot_keys(grown, key))
     return fixed.withColumn(
         "time_diff_days", F.datediff("last_purchase", "first_purchase")
     ).select(*features.columns)
