@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from check import TABLES, normal
 from tillwise.scratch import materialize, scratch_root
 
-SLOW = {"ncf_two_stage", "als_topn"}
+SLOW = {"ncf_two_stage", "ncf_topn", "als_topn"}
 # Two growth rounds and three negative rounds are what the SQL spells out; the smallest
 # tables need other numbers of rounds.
 OTHER_ROUNDS = {"cv_posneg_folds", "grown_dataset", "negative_feedback", "ncf_dataset"}

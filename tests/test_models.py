@@ -248,3 +248,8 @@ def test_network_learns_the_blocks(spark):
     out = learners.network_probability(network, crossed)
     row = evaluation.binary_metrics(out, "label", "probability").first()
     assert row.accuracy > 0.95
+    # The blockwise forward pass gives the probabilities of the fitted model.
+    top = learners.network_top_n(network, materialize(users), materialize(items), 12, U, I)
+    both = top.join(out, [U, I])
+    assert both.count() == 144
+    assert both.agg(F.max(F.abs(F.col("score") - F.col("probability")))).first()[0] < 1e-8

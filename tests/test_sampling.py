@@ -29,9 +29,9 @@ def test_shuffled_pairs_keep_both_marginals(small):
 
 def test_negatives_are_disjoint_distinct_and_exactly_as_many(small):
     n = small.count()
-    made = sampling.negative_pairs(small, 2 * n)
+    made = sampling.negative_pairs(small, n)
     got = as_set(made, "customer_id", "product_id")
-    assert made.count() == len(got) == 2 * n
+    assert made.count() == len(got) == n
     assert not got & as_set(small, "customer_id", "product_id")
 
 
@@ -49,11 +49,11 @@ def test_more_negatives_than_exist_is_an_error(small):
 def test_labelled_chunks(small):
     n = small.count()
     made = sampling.labelled_chunks(
-        small, sampling.negative_pairs(small, 2 * n), 5, ["customer_id", "product_id"]
+        small, sampling.negative_pairs(small, n), 5, ["customer_id", "product_id"]
     )
     sizes = {(r.chunk, r.rating_type): r["count"] for r in made.groupBy("chunk", "rating_type").count().collect()}
     assert sum(v for (_, t), v in sizes.items() if t == 1) == n
-    assert sum(v for (_, t), v in sizes.items() if t == 0) == 2 * n
+    assert sum(v for (_, t), v in sizes.items() if t == 0) == n
     assert max(v for (_, t), v in sizes.items() if t == 1) - min(v for (_, t), v in sizes.items() if t == 1) <= 1
 
 

@@ -112,7 +112,8 @@ def negative_pairs(
 
     A round shuffles the pairs at hand (first the positives, then the
     negatives so far), adds them, and drops every pair that came up twice or
-    is a positive.  Returns (user, item, generation, position), oldest first.
+    is a positive.  Where positives and negatives nearly fill the catalogue the
+    rounds may stop gaining; that is an error, not a shorter table.  Returns (user, item, generation, position), oldest first.
     """
     keys = [user, item]
     known = materialize(positive_pairs(positives, user, item), "positives")
@@ -121,19 +122,17 @@ def negative_pairs(
     if size > room - have:
         raise ValueError(f"{size} negatives asked for, only {room - have} exist")
     pool = known.select(*keys, F.lit(0).alias("generation"), F.lit(0).cast("bigint").alias("position"))
-    n = have
+    n = 0
     for step in range(1, max_rounds + 1):
-        if n >= size:
-            break
         made = shuffled_pairs(pool, user, item, f"negative{step}").select(
             *keys, F.lit(step).alias("generation"), "position"
         )
         pool = materialize(without_keys_of(pool.unionByName(made), known, keys), "negatives")
         n = pool.count()
+        if n >= size:
+            break
     if n < size:
         raise ValueError(f"{n} of {size} negatives after {max_rounds} rounds")
-    if size <= have:
-        pool = without_keys_of(pool, known, keys)
     return first_rows(pool, size, "generation", "position")
 
 

@@ -64,6 +64,24 @@ def as_arrays(model: DataFrame, side: str, key: str, rank: int) -> DataFrame:
     )
 
 
+def predict(
+    rows: DataFrame, model: DataFrame, user: str, item: str, rank: int, offset: float = 0.0,
+    name: str = "score",
+) -> DataFrame:
+    """Add the biased score of each (user, item) row; ids outside the model drop out."""
+    scored = spread_join(
+        rows, side_of(model, "u", user, "_p", rank), user, [item], hot_keys(rows, user)
+    )
+    scored = spread_join(
+        scored, side_of(model, "i", item, "_q", rank), item, [user], hot_keys(rows, item)
+    )
+    score = biased_score(
+        [F.col(f"_p{k}") for k in range(rank)], [F.col(f"_q{k}") for k in range(rank)],
+        F.col("_p_bias"), F.col("_q_bias"), F.lit(offset),
+    )
+    return scored.select(*rows.columns, score.alias(name))
+
+
 @dataclass(frozen=True)
 class Settings:
     """How a step moves the model.

@@ -388,7 +388,8 @@ def als_topn(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.top_n(users, items, 10, USER, ITEM)
 
 
-def ncf_two_stage(spark: SparkSession, folder: str) -> DataFrame:
+def _network(spark: SparkSession, folder: str):
+    """Factors of the pairs, and a network fitted to pairs and drawn negatives."""
     pairs = _written_pairs(spark, folder)
     labelled = materialize(
         sampling.ratio_negatives(pairs, 3, USER, ITEM).drop("draw"), "labelled"
@@ -397,16 +398,25 @@ def ncf_two_stage(spark: SparkSession, folder: str) -> DataFrame:
         pairs.select(F.col(USER).cast("int"), F.col(ITEM).cast("int"), "quantity_sum"),
         USER, ITEM, "quantity_sum", rank=8, rounds=3,
     )
+    users, items = materialize(users, "users"), materialize(items, "items")
     rows = materialize(
-        learners.crossed_features(
-            labelled, materialize(users, "users"), materialize(items, "items"), USER, ITEM
-        ),
-        "crossed",
+        learners.crossed_features(labelled, users, items, USER, ITEM), "crossed"
     )
-    network = learners.fit_network(rows, "label", 8, hidden=(16, 8), rounds=15)
+    network = learners.fit_network(rows, "label", 8, hidden=(16, 8), rounds=8)
+    return pairs, users, items, rows, network
+
+
+def ncf_two_stage(spark: SparkSession, folder: str) -> DataFrame:
+    *_, rows, network = _network(spark, folder)
     return learners.network_probability(network, rows)
 
 
+def ncf_topn(spark: SparkSession, folder: str) -> DataFrame:
+    """Five best items per user by the network, bought and saturated ones left out."""
+    pairs, users, items, _, network = _network(spark, folder)
+    return learners.network_top_n(network, users, items, 5, USER, ITEM, exclude=pairs, below=1.0)
+
+
 # -- scoring and evaluation -----------------------------------------------
 
 def score_all(spark: SparkSession, folder: str) -> DataFrame:
@@ -448,12 +458,7 @@ def _predicted(pairs: DataFrame, rows: DataFrame, rank: int = RANK) -> DataFrame
     model = materialize(
         mf.start_model(pairs.select(USER).distinct(), pairs.select(ITEM).distinct(), rank), "factors"
     )
-    p, q = mf.side_of(model, "u", USER, "p", rank), mf.side_of(model, "i", ITEM, "q", rank)
-    score = mf.biased_score(
-        [F.col(f"p{k}") for k in range(rank)], [F.col(f"q{k}") for k in range(rank)],
-        F.col("p_bias"), F.col("q_bias"), F.lit(0.0),
-    )
-    return rows.join(p, USER).join(q, ITEM).select(*rows.columns, score.alias("score"))
+    return mf.predict(rows, model, USER, ITEM, rank)
 
 
 def regression_error(spark: SparkSession, folder: str) -> DataFrame:
@@ -556,7 +561,7 @@ def all_queries() -> dict[str, Query]:
         catalogues, cardinalities, oov_lookup, positive_pairs, complement, rated_triplets,
         triplet_counts, catalogue_triplets, synthetic_pairs, grown_dataset, tt_dataset,
         negative_feedback, ncf_dataset, ratio_negatives, binary_matrix, mf_step, mf_epochs,
-        logistic_step, bpr_step, bpr_loss, als_topn, ncf_two_stage, score_all, vector_topk,
+        logistic_step, bpr_step, bpr_loss, als_topn, ncf_two_stage, ncf_topn, score_all, vector_topk,
         topn_table, regression_error, binary_metrics, topk_confusion, fold_average, auc, map_at_k,
         stream_mean, stream_ids,
     ]
