@@ -99,12 +99,14 @@ def test_lookup_with_and_without_unknown(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_spread_join_equals_a_plain_join_and_splits_the_hot_key(spark, how):
+def test_spread_join_equals_a_plain_join_and_splits_the_hot_key(spark, how, monkeypatch):
+    monkeypatch.setattr(skew, "SMALL_BYTES", 0)
+    monkeypatch.setattr(skew, "HOT_ROWS", 1000)
     left = spark.range(30_000).select(
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 500 + 100).alias("k"), "id"
     )
     right = spark.range(700).where("id != 150").select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    hot = skew.hot_keys(left, "k", floor=1000, below_bytes=0)
+    hot = skew.hot_keys(left, "k")
     assert [tuple(r) for r in hot.collect()] == [(7, 10)]
     got = skew.spread_join(left, right, "k", ["id"], hot, how)
     want = left.join(right, "k", how)

@@ -189,26 +189,32 @@ def quantile_edges(counts: DataFrame, parts: Mapping[str, int]) -> DataFrame:
         (F.col("start") - F.col("base") + F.col("n")).alias("hi"),
     )
 
+    # The place of edge i of q lies between two neighbouring ranks.
+    q = F.col("q")
+    spot = (F.col("total") - 1) * F.col("i") / q.cast("double")
+    steps = rows.withColumn("q", _parts_of(parts)).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), q))
+    )
+
     def at(place: Column) -> Column:
         inside = (F.col("lo") <= place) & (place < F.col("hi"))
         return F.max(F.when(inside, F.col("value")))
 
-    steps = sorted({(name, i, q) for name, q in parts.items() for i in range(q + 1)})
-    wanted = []
-    for name, i, q in steps:
-        spot = F.when(F.col("name") == name, (F.col("total") - 1) * F.lit(i) / F.lit(float(q)))
-        wanted.append((name, i, q, spot))
-    measured = rows.groupBy("name", "total").agg(
-        *[at(F.floor(spot)).alias(f"_f{n}") for n, (_, _, _, spot) in enumerate(wanted)],
-        *[at(F.ceil(spot)).alias(f"_c{n}") for n, (_, _, _, spot) in enumerate(wanted)],
-    )
-    edge = []
-    for n, (_, _, _, spot) in enumerate(wanted):
-        low, high = F.col(f"_f{n}"), F.col(f"_c{n}")
-        edge.append(low + (high - low) * (spot - F.floor(spot)))
-    return measured.select(
-        "name", F.array_sort(F.array_distinct(F.array_compact(F.array(*edge)))).alias("edges")
+    around = (
+        steps.where((F.col("lo") <= F.ceil(spot)) & (F.floor(spot) < F.col("hi")))
+        .groupBy("name", "total", "q", "i")
+        .agg(at(F.floor(spot)).alias("low"), at(F.ceil(spot)).alias("high"))
     )
+    edge = F.col("low") + (F.col("high") - F.col("low")) * (spot - F.floor(spot))
+    # At most parts+1 edges per column.
+    return around.groupBy("name").agg(F.array_sort(F.collect_set(edge)).alias("edges"))
+
+
+def _parts_of(parts: Mapping[str, int]) -> Column:
+    names = F.lit(None).cast("int")
+    for name, q in parts.items():
+        names = F.when(F.col("name") == name, F.lit(q)).otherwise(names)
+    return names
 
 
 def quantile_histogram(df: DataFrame, parts: Mapping[str, int]) -> DataFrame:

@@ -195,12 +195,11 @@ def unseen_ranges(
     plus one per user: (user, first_code, last_code), both inclusive.
     Neighbours are found inside blocks of consecutive codes, and the ends of
     the blocks are joined up afterwards, so no user is gathered in one task.
-    ``n_items`` is the size of the catalogue (codes 0..n_items-1).
+    ``n_items`` is the size of the catalogue (codes 0..n_items-1); pairs are
+    distinct.
     """
-    cut = (
-        pairs.select(user, F.col(code).cast("bigint").alias("_code"))
-        .distinct()
-        .withColumn("_block", F.floor(F.col("_code") / block).cast("bigint"))
+    cut = pairs.select(user, F.col(code).cast("bigint").alias("_code")).withColumn(
+        "_block", F.floor(F.col("_code") / block).cast("bigint")
     )
     inside = Window.partitionBy(user, "_block").orderBy("_code")
     within = cut.select(

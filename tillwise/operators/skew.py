@@ -15,25 +15,23 @@ from pyspark.sql import functions as F
 from tillwise.scratch import materialize, plan_bytes
 
 MOST_HOT_KEYS = 10_000
+HOT_ROWS = 1_000_000
+SMALL_BYTES = 256 * 1024 * 1024
 
 
-def hot_keys(
-    df: DataFrame, key: str, floor: int = 1_000_000, below_bytes: int | None = None
-) -> DataFrame | None:
+def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
     """Keys with more rows than a task should hold, and how many ways to split each.
 
-    A key is hot when it has more than ``floor`` rows and more than 1 in
-    10,000 of all rows, so there are at most 10,000 hot keys whatever the
-    table size: the result is always small enough to broadcast.  ``None``
-    when the whole table is smaller than one skewed partition.
+    A key is hot when it has more than HOT_ROWS rows and more than 1 in
+    MOST_HOT_KEYS of all rows, so there are at most MOST_HOT_KEYS of them
+    whatever the table size: the result is always small enough to broadcast.
+    ``None`` when the whole table is smaller than one skewed partition.
     """
-    if below_bytes is None:
-        below_bytes = 256 * 1024 * 1024
-    if plan_bytes(df) < below_bytes:
+    if plan_bytes(df) < SMALL_BYTES:
         return None
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     total = df.agg(F.count(F.lit(1))).scalar()
-    limit = F.greatest(F.lit(float(floor)), total / F.lit(float(MOST_HOT_KEYS)))
+    limit = F.greatest(F.lit(float(HOT_ROWS)), total / F.lit(float(MOST_HOT_KEYS)))
     hot = sizes.where(F.col("_rows") > limit).select(
         key, F.ceil(F.col("_rows") / limit).cast("int").alias("_fan")
     )

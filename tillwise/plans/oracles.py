@@ -193,8 +193,10 @@ def _dot(left: str, right: str, rank: int) -> str:
 
 
 def _mf_step(
-    r: int, rank: int, rate: float, penalty: float, offset: str, logit: bool, learn_bias: bool
+    r: int, rank: int, rate: float, penalty: float, offset: str, logit: bool, learn_bias: bool,
+    tag: str = "",
 ) -> str:
+    before = f"{r - 1}{tag if r > 1 else ''}"
     raw = f"{offset} + u.bias + i.bias + {_dot('u', 'i', rank)}"
     predicted = f"1.0 / (1.0 + exp(-({raw})))" if logit else raw
 
@@ -207,13 +209,13 @@ def _mf_step(
         bias = (
             f"coalesce(m.bias + {rate} * (gb - {penalty} * m.bias), m.bias)" if learn_bias else "m.bias"
         )
-        return f"""{side}{r} AS (SELECT m.id, {new}, {bias} AS bias FROM {side}{r - 1} m LEFT JOIN (
-    SELECT {key} AS id, {cells}, avg(error) AS gb FROM e{r} WHERE is_train GROUP BY {key}) g ON m.id = g.id)"""
+        return f"""{side}{r}{tag} AS (SELECT m.id, {new}, {bias} AS bias FROM {side}{before} m LEFT JOIN (
+    SELECT {key} AS id, {cells}, avg(error) AS gb FROM e{r}{tag} WHERE is_train GROUP BY {key}) g ON m.id = g.id)"""
 
     cells = ", ".join(f"u.f{k} AS uf{k}, i.f{k} AS if{k}" for k in range(rank))
     return f"""
-e{r} AS (SELECT customer_id, product_id, is_train, value - ({predicted}) AS error, {cells}
-  FROM train JOIN u{r - 1} u ON u.id = customer_id JOIN i{r - 1} i ON i.id = product_id),
+e{r}{tag} AS (SELECT customer_id, product_id, is_train, value - ({predicted}) AS error, {cells}
+  FROM train{tag} JOIN u{before} u ON u.id = customer_id JOIN i{before} i ON i.id = product_id),
 {moved('u', 'customer_id', 'i')},
 {moved('i', 'product_id', 'u')}"""
 
@@ -312,6 +314,32 @@ def _rounded(columns: str) -> str:
 _METRICS = "tp tn fp fn precision recall hit_rate"
 
 
+def _fold(f: int) -> str:
+    """One epoch with fold f held out, its losses and its top 10 against the fold and all rows."""
+    offset = f"(SELECT avg(value) FROM train_{f} WHERE is_train)"
+    score = f"{offset} + u.bias + i.bias + {_dot('u', 'i', 4)}"
+    return f"""
+train_{f} AS (SELECT customer_id, product_id, rating AS value, chunk <> {f} AS is_train FROM folded),
+{_mf_step(1, 4, 0.05, 0.02, offset, False, True, f"_{f}")},
+loss_{f} AS (SELECT avg(pow(value - ({score}), 2)) FILTER (WHERE is_train) AS train_loss,
+    avg(pow(value - ({score}), 2)) FILTER (WHERE NOT is_train) AS test_loss
+  FROM train_{f} JOIN u1_{f} u ON u.id = customer_id JOIN i1_{f} i ON i.id = product_id),
+best_{f} AS (SELECT customer_id, product_id FROM (
+  SELECT u.id AS customer_id, i.id AS product_id,
+    row_number() OVER (PARTITION BY u.id ORDER BY round({score}, 9) DESC, i.id) AS position
+  FROM u1_{f} u, i1_{f} i) WHERE position <= 10),
+held_{f} AS (SELECT customer_id, product_id FROM folded WHERE chunk = {f}),
+row_{f} AS (SELECT CAST({f} AS BIGINT) AS fold, * FROM loss_{f},
+  ({_confusion(f"held_{f}").replace("best b", f"best_{f} b")}),
+  ({_confusion("pairs", "full_").replace("best b", f"best_{f} b")}))"""
+
+
+CROSS_VALIDATION = RATED + f""",
+folded AS (SELECT customer_id, product_id, rating, ntile(5) OVER (ORDER BY
+    {_md5('folds', 'customer_id', 'product_id')}, customer_id, product_id) - 1 AS chunk FROM rated),
+{_start(4)},""" + ",".join(_fold(f) for f in range(5))
+
+
 def _stated(dates: str) -> str:
     return ", ".join(f"CAST({d} AS VARCHAR) AS {d}" for d in dates.split())
 
@@ -467,6 +495,10 @@ SELECT customer_id, product_id, CAST(rating_type AS BIGINT) AS rating_type, chun
         + " FROM e GROUP BY user_id",
         "mf_step": f"WITH {MF},{MF_STEPS[0]} {_model(1, 4)}",
         "mf_epochs": f"WITH {MF},{MF_STEPS[0]},{MF_STEPS[1]} {_mse(1)} UNION ALL {_mse(2)}",
+        "svd_cross_validation": f"""WITH {CROSS_VALIDATION}
+SELECT fold, round(train_loss, 6) AS train_loss, round(test_loss, 6) AS test_loss, {_rounded(_METRICS)},
+  {_rounded(' '.join('full_' + m for m in _METRICS.split()))}
+FROM ({" UNION ALL ".join(f"SELECT * FROM row_{f}" for f in range(5))})""",
         "logistic_step": f"""WITH {RATIO},
 train AS (SELECT customer_id, product_id, true AS is_train, label AS value FROM ratio),{_start(4)},
 {_mf_step(1, 4, 0.5, 0.02, '0.0', True, False)} {_model(1, 4)}""",

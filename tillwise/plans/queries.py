@@ -11,13 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwise.functions.hashing import digest
 from tillwise.functions.ratings import COUNT_CUTS, QUANTITY_CUTS, composite_rating, quartile_place
-from tillwise.functions.scores import nine_decimals, sigmoid, two_decimals
+from tillwise.functions.scores import array_dot, nine_decimals, sigmoid, two_decimals
 from tillwise.operators import curate as cu
 from tillwise.operators import encode, evaluation, features, ranking, sampling, splits, triplets
+from tillwise.plans import crossval, learners, scoring
 from tillwise.plans import factorization as mf
-from tillwise.plans import learners, scoring
 from tillwise.scratch import materialize, new_path
 from tillwise.sources import tables
 from tillwise.streaming import running
@@ -380,6 +379,29 @@ def bpr_loss(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def svd_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
+    rated = features.equal_width_ratings(_written_pairs(spark, folder))
+    rows = materialize(
+        splits.shuffled_chunks(rated.select(USER, ITEM, "rating"), 5, [USER, ITEM], "folds"), "folds"
+    )
+    out = crossval.cross_validate(rows, USER, ITEM, "rating", "chunk", SMALL)
+    return out.select(*[
+        F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes
+    ])
+
+
+def als_ratings(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of least-squares factors on the held-out fifth of the ratings."""
+    rated = materialize(_ratings(spark, folder), "ratings")
+    coded = rated.select(F.col(USER).cast("int").alias(USER), F.col(ITEM).cast("int").alias(ITEM), "rating")
+    train = coded.where(rated["is_train"])
+    users, items, offset = learners.rating_factors(train, USER, ITEM, "rating")
+    p = users.select(USER, F.col("factors").alias("p"))
+    q = items.select(ITEM, F.col("factors").alias("q"))
+    scored = rated.join(p, USER).join(q, ITEM).withColumn("predicted", array_dot(F.col("p"), F.col("q")) + offset)
+    return evaluation.mean_error(scored.where(~F.col("is_train")), "rating", "predicted")
+
+
 def als_topn(spark: SparkSession, folder: str) -> DataFrame:
     pairs = _written_pairs(spark, folder).select(
         F.col(USER).cast("int").alias(USER), F.col(ITEM).cast("int").alias(ITEM), "quantity_sum"
@@ -561,7 +583,7 @@ def all_queries() -> dict[str, Query]:
         catalogues, cardinalities, oov_lookup, positive_pairs, complement, rated_triplets,
         triplet_counts, catalogue_triplets, synthetic_pairs, grown_dataset, tt_dataset,
         negative_feedback, ncf_dataset, ratio_negatives, binary_matrix, mf_step, mf_epochs,
-        logistic_step, bpr_step, bpr_loss, als_topn, ncf_two_stage, ncf_topn, score_all, vector_topk,
+        logistic_step, bpr_step, bpr_loss, svd_cross_validation, als_ratings, als_topn, ncf_two_stage, ncf_topn, score_all, vector_topk,
         topn_table, regression_error, binary_metrics, topk_confusion, fold_average, auc, map_at_k,
         stream_mean, stream_ids,
     ]
