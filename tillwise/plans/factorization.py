@@ -134,8 +134,9 @@ def _apply(model: DataFrame, messages: DataFrame, s: Settings, extra: list[Colum
 class Factorization:
     """Biased matrix factorisation of (user, item, value) rows.
 
-    ``held_out`` marks rows that are scored but not learned from.  The hot
-    users and items are found once and reused in every step.
+    ``ratings`` is a written table, since every step reads it.  ``held_out``
+    marks rows that are scored but not learned from.  The hot users and items
+    are found once and reused in every step.
     """
 
     def __init__(
@@ -144,14 +145,11 @@ class Factorization:
     ):
         self.settings = settings
         held = F.lit(False) if held_out is None else held_out
-        self.rows = materialize(
-            ratings.select(
-                F.col(user).cast("bigint").alias("user"),
-                F.col(item).cast("bigint").alias("item"),
-                F.col(value).cast("double").alias("value"),
-                held.alias("held_out"),
-            ),
-            "ratings",
+        self.rows = ratings.select(
+            F.col(user).cast("bigint").alias("user"),
+            F.col(item).cast("bigint").alias("item"),
+            F.col(value).cast("double").alias("value"),
+            held.alias("held_out"),
         )
         if offset is None:
             offset = self.rows.where(~F.col("held_out")).agg(F.avg("value")).first()[0]

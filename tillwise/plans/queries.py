@@ -329,7 +329,8 @@ def _rounded_model(model: DataFrame, rank: int) -> DataFrame:
 
 def _ratings(spark: SparkSession, folder: str) -> DataFrame:
     rated = features.equal_width_ratings(_written_pairs(spark, folder))
-    return splits.random_split(rated.select(USER, ITEM, "rating"), 0.8, [USER, ITEM])
+    split = splits.random_split(rated.select(USER, ITEM, "rating"), 0.8, [USER, ITEM])
+    return materialize(split, "ratings")
 
 
 def mf_step(spark: SparkSession, folder: str) -> DataFrame:
@@ -349,7 +350,9 @@ def mf_epochs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def logistic_step(spark: SparkSession, folder: str) -> DataFrame:
-    labelled = sampling.ratio_negatives(_written_pairs(spark, folder), 3, USER, ITEM)
+    labelled = materialize(
+        sampling.ratio_negatives(_written_pairs(spark, folder), 3, USER, ITEM), "labelled"
+    )
     settings = mf.Settings(rank=4, rate=0.5, link="logit", learn_bias=False)
     fit = mf.Factorization(labelled, USER, ITEM, "label", settings, offset=0.0)
     return _rounded_model(fit.step(fit.start()), settings.rank)
@@ -392,7 +395,7 @@ def svd_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
 
 def als_ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Errors of least-squares factors on the held-out fifth of the ratings."""
-    rated = materialize(_ratings(spark, folder), "ratings")
+    rated = _ratings(spark, folder)
     coded = rated.select(F.col(USER).cast("int").alias(USER), F.col(ITEM).cast("int").alias(ITEM), "rating")
     train = coded.where(rated["is_train"])
     users, items, offset = learners.rating_factors(train, USER, ITEM, "rating")
