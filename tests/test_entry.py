@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, normal
-from tillwise.scratch import materialize, scratch_root
+from tillwise.scratch import materialize, scratch_root, temporary
 
 SLOW = {"ncf_two_stage", "ncf_topn", "als_topn", "als_ratings"}
 # Two growth rounds and three negative rounds are what the SQL spells out; the smallest
@@ -59,3 +59,21 @@ def test_written_tables_lie_below_the_shared_folder(spark):
     table = materialize(spark.range(3))
     assert all(scratch_root(spark) in f for f in table.inputFiles())
     assert table.count() == 3
+
+
+def test_temporary_tables_are_deleted_and_kept_ones_stay(spark):
+    import os
+
+    def folder_of(df):
+        return os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+
+    with temporary(spark) as outer:
+        with temporary(spark) as keep:
+            gone = folder_of(materialize(spark.range(3)))
+            kept = keep(spark.range(4))
+        stays = outer(spark.range(5))
+        assert not os.path.exists(gone)
+        assert kept.count() == 4
+        inner = folder_of(kept)
+    assert not os.path.exists(inner)
+    assert stays.count() == 5

@@ -17,7 +17,7 @@ from tillwise.operators.features import first_present, shift_years
 from tillwise.operators.ranking import first_rows, global_rank, hash_rank
 from tillwise.operators.skew import hot_keys, spread_join
 from tillwise.operators.splits import time_chunks
-from tillwise.scratch import materialize
+from tillwise.scratch import materialize, temporary
 
 MAX_ROUNDS = 50
 
@@ -69,21 +69,23 @@ def grow(
     labels = [c for c in ("material", "normalized_customer_id") if c in features.columns]
     columns = [c for c in features.columns if c not in labels]
     _check_room(features, user, item, size)
+    spark = features.sparkSession
     grown = materialize(features.select(*columns), "grow")
     n = grown.count()
     for step in range(1, max_rounds + 1):
         if n >= size:
             break
-        made = synthetic_rows(grown, user, item, order, f"grow{step}")
-        moved = shift_years(made, [first, last], *order, ends_of=grown)
-        together = grown.select(*columns, F.lit(-1).cast("bigint").alias("_age")).unionByName(
-            moved.select(*columns, F.col("position").alias("_age"))
-        )
-        # A number as order keeps the aggregate in its hash form.
-        merged = first_present(
-            together, [user, item], F.col("_age"), [c for c in columns if c not in (user, item)]
-        )
-        grown = materialize(merged.select(*columns), "grow")
+        with temporary(spark) as keep:
+            made = synthetic_rows(grown, user, item, order, f"grow{step}")
+            moved = shift_years(made, [first, last], *order, ends_of=grown)
+            together = grown.select(*columns, F.lit(-1).cast("bigint").alias("_age")).unionByName(
+                moved.select(*columns, F.col("position").alias("_age"))
+            )
+            # A number as order keeps the aggregate in its hash form.
+            merged = first_present(
+                together, [user, item], F.col("_age"), [c for c in columns if c not in (user, item)]
+            )
+            grown = keep(merged.select(*columns), "grow")
         before, n = n, grown.count()
         if n == before:
             raise ValueError(f"no new pair in round {step}; {n} of {size} rows made")

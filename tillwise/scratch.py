@@ -8,7 +8,10 @@ the shared folder the cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +36,52 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once and go on from the written copy."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    scopes = _scopes()
+    if scopes:
+        scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_local = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Delete at the end the tables written inside, so that loops do not fill the folder.
+
+    Gives ``keep``, which writes a table that stays (until the end of an
+    enclosing block).  Nothing else made inside may be used afterwards.
+    """
+    scopes = _scopes()
+    mine: list[str] = []
+    scopes.append(mine)
+
+    def keep(df: DataFrame, label: str = "table") -> DataFrame:
+        written = materialize(df, label)
+        path = mine.pop()
+        if len(scopes) > 1:
+            scopes[-2].append(path)
+        return written
+
+    try:
+        yield keep
+    finally:
+        scopes.remove(mine)
+        for path in mine:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; exact file size for a written table."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tillwise.operators.ranking import global_rank
+from tillwise.scratch import temporary
 
 
 def running_mean(stream: DataFrame, value: str, target: str, checkpoint: str) -> StreamingQuery:
@@ -53,6 +54,10 @@ def grow_codes(
 
     def assign(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        with temporary(spark):
+            write(spark, batch, batch_id)
+
+    def write(spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
         seen = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"))
         start = 0
         if batch_id > 0:
