@@ -17,11 +17,15 @@ def test_transactions_with_decimal_comma_and_bad_lines(spark, tmp_path):
         "3,20200103,m3,pump,g,7,False,c3,too,long\n"
         "4,20200104,m4,pump,g,notanumber,False,c4\n"
         "5,20200105,m5,pump,g,-3,False,c5\n"
+        '6,20200106,"m,6",pump,g,"2,25"\n'
     )
     got = readers.read_transactions(spark, str(path)).orderBy("DOC_NUMBER_TEXT").collect()
     assert [(r.DOC_NUMBER_TEXT, r.QUANTITY, r.is_accessory) for r in got] == [
-        ("1", 1.5, True), ("2", None, False), ("5", -3.0, False)
+        ("1", 1.5, True), ("2", None, False), ("5", -3.0, False), ("6", 2.25, None)
     ]
+    # The same lines, whichever columns are read.
+    assert readers.read_transactions(spark, str(path)).select("QUANTITY").count() == 4
+    assert readers.read_transactions(spark, str(path)).count() == 4
 
 
 def test_renamed_by_position(spark, tmp_path):

@@ -59,7 +59,8 @@ def hash_rank(
     Digests are uniform, so their leading digits cut the table into even
     buckets: count the buckets (at most 16**digits, 65,536), add up the counts
     before each, and number the rows inside.  Rows must be distinct in what
-    the digest covers; equal digests fall back to ``ties``.
+    the digest covers; equal digests fall back to ``ties``.  ``df`` is read
+    twice, so give it a written table.
     """
     keyed = df.withColumn("_digest", hex_digest).withColumn(
         "_bucket", F.substring("_digest", 1, digits)

@@ -28,17 +28,31 @@ def read_transactions(
 ) -> DataFrame:
     """CSV with a header and decimal commas; malformed lines are dropped.
 
-    Decimal columns carry the comma (a locale setting) and come out as doubles.
+    A line with too many fields or an unreadable value is malformed; a line
+    with too few is filled up with NULL.  Decimal columns carry the comma (a
+    locale setting) and come out as doubles.  Bad lines are told by the record
+    column, not by a drop mode, so the choice of columns cannot change them.
     """
+    bad = "_corrupt_record"
     rows = (
-        spark.read.schema(schema)
+        spark.read.schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType())]))
         .option("header", True)
         .option("locale", "de")
-        .option("mode", "DROPMALFORMED")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", bad)
         .csv(path)
     )
+    unquoted = F.regexp_replace(bad, '"[^"]*"', "")
+    fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
     decimals = [f.name for f in schema if isinstance(f.dataType, T.DecimalType)]
-    return rows.withColumns({c: F.col(c).cast("double") for c in decimals})
+    # A value nobody asks for is not parsed, and so not found to be bad.  This
+    # condition always holds; it asks for every column.
+    parsed = F.length(F.concat_ws("", *[F.col(f.name).cast("string") for f in schema])) >= 0
+    return (
+        rows.where((F.col(bad).isNull() | (fields < len(schema))) & parsed)
+        .drop(bad)
+        .withColumns({c: F.col(c).cast("double") for c in decimals})
+    )
 
 
 def read_renamed(
