@@ -111,6 +111,12 @@ def test_confusion_by_hand(spark):
     assert (row.tp, row.fp, row.fn, row.tn) == (1, 2, 1, 16)
     assert row.tp + row.fp + row.fn + row.tn == 20
     assert (row.precision, row.recall, row.hit_rate) == pytest.approx((1 / 3, 1 / 2, 1 / 4))
+    both = evaluation.topk_confusion(
+        predicted, real, users, items, truths={"a_": F.col(U) == 0, "b_": F.lit(True)}
+    )
+    row = both.first()
+    assert (row.a_tp, row.a_fn, row.a_tn, row.b_tp, row.b_fn, row.b_tn) == (1, 0, 17, 1, 1, 16)
+    assert [r.fn for r in evaluation.fold_rows(both, ["a_", "b_"]).collect()] == [0, 1]
     none = evaluation.topk_confusion(predicted.limit(0), real, users, items).first()
     assert none.precision is None and none.recall == 0 and none.hit_rate == 0
 

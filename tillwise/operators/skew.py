@@ -50,13 +50,15 @@ def spread_join(
 
     The rows of a hot key are dealt over its share of salts by a hash of the
     ``spread`` columns, and only the matching right-hand row is repeated.
+    Rows without a key match nothing and are dealt over salts of their own.
     """
     if hot is None:
         return left.join(right, key, how)
     hot = F.broadcast(hot)
     dealt = left.join(hot, key, "left").withColumn(
         "_salt",
-        F.when(F.col("_fan").isNull(), F.lit(0))
+        F.when(F.col(key).isNull(), -1 - F.pmod(F.xxhash64(*spread), F.lit(MOST_HOT_KEYS)))
+        .when(F.col("_fan").isNull(), F.lit(0))
         .otherwise(F.pmod(F.xxhash64(*spread), F.col("_fan")))
         .cast("int"),
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.functions.ratings import COUNT_CUTS, QUANTITY_CUTS, composite_rating, quartile_place
@@ -43,7 +43,7 @@ def _chunked_pairs(spark: SparkSession, folder: str, n: int = 5) -> DataFrame:
     return splits.time_chunks(_pairs(spark, folder), n, *TIME_ORDER)
 
 
-def _liked() -> F.Column:
+def _liked() -> Column:
     return F.col("quantity_sum") > LIKED_ABOVE
 
 
@@ -521,22 +521,18 @@ def topk_confusion(spark: SparkSession, folder: str) -> DataFrame:
     """Top 10 against the last fold, and against all folds (prefix full_)."""
     chunked, best = _confusion(spark, folder)
     users, items = chunked.select(USER).distinct(), chunked.select(ITEM).distinct()
-    test = evaluation.topk_confusion(best, chunked.where(F.col("chunk") == 4), users, items, USER, ITEM)
-    full = evaluation.topk_confusion(best, chunked, users, items, USER, ITEM, prefix="full_")
-    both = test.withColumn("_one", F.lit(1)).join(full.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return _rounded_confusion(both)
+    truths = {"": F.col("chunk") == 4, "full_": F.lit(True)}
+    return _rounded_confusion(
+        evaluation.topk_confusion(best, chunked, users, items, USER, ITEM, truths)
+    )
 
 
 def fold_average(spark: SparkSession, folder: str) -> DataFrame:
     chunked, best = _confusion(spark, folder)
     users, items = chunked.select(USER).distinct(), chunked.select(ITEM).distinct()
-    folds = None
-    for fold in range(5):
-        one = evaluation.topk_confusion(
-            best, chunked.where(F.col("chunk") == fold), users, items, USER, ITEM
-        )
-        folds = one if folds is None else folds.unionByName(one)
-    out = evaluation.fold_average(folds, ["tp", "tn", "fp", "fn", "precision", "recall", "hit_rate"])
+    truths = {f"fold{f}_": F.col("chunk") == f for f in range(5)}
+    wide = evaluation.topk_confusion(best, chunked, users, items, USER, ITEM, truths)
+    out = evaluation.fold_average(evaluation.fold_rows(wide, list(truths)), evaluation.METRICS)
     return out.select(*[F.round(c, 6).alias(c) if c != "folds" else F.col(c) for c in out.columns])
 
 
