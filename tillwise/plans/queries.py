@@ -396,13 +396,15 @@ def svd_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
 def als_ratings(spark: SparkSession, folder: str) -> DataFrame:
     """Errors of least-squares factors on the held-out fifth of the ratings."""
     rated = _ratings(spark, folder)
-    coded = rated.select(F.col(USER).cast("int").alias(USER), F.col(ITEM).cast("int").alias(ITEM), "rating")
-    train = coded.where(rated["is_train"])
+    train = rated.where("is_train").select(
+        F.col(USER).cast("int").alias(USER), F.col(ITEM).cast("int").alias(ITEM), "rating"
+    )
     users, items, offset = learners.rating_factors(train, USER, ITEM, "rating")
     p = users.select(USER, F.col("factors").alias("p"))
     q = items.select(ITEM, F.col("factors").alias("q"))
-    scored = rated.join(p, USER).join(q, ITEM).withColumn("predicted", array_dot(F.col("p"), F.col("q")) + offset)
-    return evaluation.mean_error(scored.where(~F.col("is_train")), "rating", "predicted")
+    held_out = rated.where(~F.col("is_train")).join(p, USER).join(q, ITEM)
+    scored = held_out.withColumn("predicted", array_dot(F.col("p"), F.col("q")) + offset)
+    return evaluation.mean_error(scored, "rating", "predicted")
 
 
 def als_topn(spark: SparkSession, folder: str) -> DataFrame:
