@@ -34,11 +34,14 @@ def new_path(spark: SparkSession, label: str = "table") -> str:
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once and go on from the written copy."""
+    return _write(df, label, _scopes()[-1:])
+
+
+def _write(df: DataFrame, label: str, owners: list[list[str]]) -> DataFrame:
     path = new_path(df.sparkSession, label)
+    for owner in owners:
+        owner.append(path)
     df.write.parquet(path)
-    scopes = _scopes()
-    if scopes:
-        scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -59,20 +62,17 @@ def temporary(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
     enclosing block).  Nothing else made inside may be used afterwards.
     """
     scopes = _scopes()
+    enclosing = scopes[-1:]
     mine: list[str] = []
     scopes.append(mine)
 
     def keep(df: DataFrame, label: str = "table") -> DataFrame:
-        written = materialize(df, label)
-        path = mine.pop()
-        if len(scopes) > 1:
-            scopes[-2].append(path)
-        return written
+        return _write(df, label, enclosing)
 
     try:
         yield keep
     finally:
-        scopes.remove(mine)
+        scopes.pop()
         for path in mine:
             _delete(spark, path)
 
