@@ -50,7 +50,10 @@ def with_columns(df: DataFrame, fields: Sequence[tuple[str, str]], make: Make) -
         work = make()
         for whole in batches:
             for batch in pieces(whole):
-                made = [pa.array(values, type=t) for values, t in zip(work(batch), types, strict=True)]
+                made = [
+                    values.cast(t) if isinstance(values, pa.Array) else pa.array(values, type=t)
+                    for values, t in zip(work(batch), types, strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
     return kept.mapInArrow(run, out)

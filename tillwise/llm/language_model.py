@@ -44,7 +44,7 @@ class Hasher(dict):
     """Hash of a word, kept for the most recent words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         value = self[word] = xxh64_intdigest(word)
         return value
@@ -88,7 +88,7 @@ class Filter:
         self.bits = bits
 
     def home(self, key: np.ndarray) -> np.ndarray:
-        return (mixed(key + U(0x632BE59BD9B4E019)) >> U(52)).astype(np.int64)
+        return (key >> U(52)).astype(np.int64)
 
     def places(self, key: np.ndarray, j: np.ndarray | int, i: int) -> np.ndarray:
         """Bit of hash ``i`` at level ``j``, inside the segment."""
@@ -158,23 +158,31 @@ def build(corpus: DataFrame, total: int, text: str = "text") -> Filter:
             yield pa.RecordBatch.from_arrays([pa.array(home), *batch.columns], names=["segment", "key", "n"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segments: dict[int, np.ndarray] = {}
+        """The segments of a task side by side, in the order in which they turn up."""
+        row = np.full(SEGMENTS, -1, dtype=np.int64)
+        bits = np.zeros(0, dtype=bool)
+        used = 0
         for batch in batches:
             key = batch.column("key").to_numpy().view(U)
             home = batch.column("segment").to_numpy()
+            new = np.unique(home[row[home] < 0])
+            row[new] = used + np.arange(len(new))
+            used += len(new)
+            if used * width > len(bits):
+                bits = np.concatenate([bits, np.zeros(max(used * width - len(bits), len(bits) // 2), dtype=bool)])
+            start = row[home] * width
             levels = level(batch.column("n").to_numpy())
-            for s in np.unique(home).tolist():
-                bits = segments.setdefault(s, np.zeros(width, dtype=bool))
-                own = np.flatnonzero(home == s)
-                j = 1
-                while len(own):
-                    for i in range(HASHES):
-                        bits[made.places(key[own], j, i)] = True
-                    j += 1
-                    own = own[levels[own] >= j]
-        for s, bits in segments.items():
+            own = np.arange(len(key))
+            j = 1
+            while len(own):
+                for i in range(HASHES):
+                    bits[start[own] + made.places(key[own], j, i)] = True
+                j += 1
+                own = own[levels[own] >= j]
+        for s in np.flatnonzero(row >= 0).tolist():
+            part = bits[row[s] * width : (row[s] + 1) * width]
             yield pa.RecordBatch.from_pydict(
-                {"segment": pa.array([s], pa.int32()), "bits": [np.packbits(bits, bitorder="little").tobytes()]}
+                {"segment": pa.array([s], pa.int32()), "bits": [np.packbits(part, bitorder="little").tobytes()]}
             )
 
     rows = (
@@ -222,7 +230,7 @@ def assess(
         at_start = counts[filter_.read(np.array([start]))][0]
 
         def work(batch: pa.RecordBatch):
-            out: list[list[object]] = [[] for _ in range(5)]
+            out: list[object] = [[] for _ in range(5)]
             found = [tokens(t, hasher) for t in texts(batch, "text")]
             if not found:
                 return out
@@ -256,10 +264,8 @@ def assess(
 
             out[0] = [len(f) for f in found]
             out[1], out[2], out[3] = known, base, score
-            out[4] = [
-                [{"key": k, "n": c} for k, c in zip(rest[a:b].tolist(), times[a:b].tolist(), strict=True)]
-                for a, b in zip(ends[:-1], ends[1:], strict=True)
-            ]
+            pairs = pa.StructArray.from_arrays([pa.array(rest), pa.array(times)], ["key", "n"])
+            out[4] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
             return out
 
         return work
