@@ -227,7 +227,7 @@ def assess(
         counts = count_of_level()
         hasher = Hasher()
         start = U(xxh64_intdigest(START))
-        at_start = counts[filter_.read(np.array([start]))][0]
+        at_start = min(counts[filter_.read(np.array([start]))][0], total)
 
         def work(batch: pa.RecordBatch):
             out: list[object] = [[] for _ in range(5)]
@@ -252,7 +252,7 @@ def assess(
             rest = distinct[code % len(distinct)].view(np.int64)
 
             # The model: every count is read from the filter.
-            single = counts[filter_.read(distinct)]
+            single = np.minimum(counts[filter_.read(distinct)], total)
             before = np.concatenate([[start], all_[:-1]])
             before[first] = start
             context = np.concatenate([[0.0], single[place][:-1]])

@@ -1,17 +1,16 @@
 """Quality classifier: logistic regression on hashed word n-grams, fitted by FTRL-proximal.
 
-A model is fitted on a bounded sample of the labelled texts: ``SAMPLE_ROWS``
-ids with the smallest hash, dealt over ``SHARDS`` shards.  Each shard runs
-follow-the-regularised-leader updates over its texts, the weights of the
-shards are averaged, and a table of 2**``BITS`` weights goes to the workers.
-A score is the sparse dot product of the n-gram shares of a text and the
-weights.
+A model is fitted on a bounded sample of the labelled texts, the ``SAMPLE_ROWS``
+ids with the smallest hash, whatever the size of the corpus.  One task runs
+follow-the-regularised-leader updates over their n-grams, and a table of
+2**``BITS`` weights goes to the workers.  A score is the sparse dot product of
+the n-gram shares of a text and the weights.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +21,8 @@ from tillwise.llm.arrow import texts, with_columns
 
 BITS = 18
 #: At most so many labelled texts are learned from.
-SAMPLE_ROWS = 20_000
-SHARDS = 8
-EPOCHS = 3
+SAMPLE_ROWS = 8_000
+EPOCHS = 5
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 #: Two more inputs after the hashed ones: a constant, and the share of repeated words.
 EXTRA = 2
@@ -100,30 +98,27 @@ def sigmoid(x: float) -> float:
     return 1.0 / (1.0 + np.exp(-min(max(x, -35.0), 35.0)))
 
 
-def _fit_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by shard; weights of a shard that are not zero go out."""
-    hasher = Hasher()
-    shard, rows = None, []
-
-    def out() -> pa.RecordBatch:
-        model = Ftrl((1 << BITS) + EXTRA)
-        for _ in range(EPOCHS):
-            for at, x, y in rows:
-                model.learn(at, x, y)
-        w = model.weights(slice(None))
-        used = np.flatnonzero(w)
-        return pa.RecordBatch.from_pydict({"slot": used, "weight": w[used]})
+def learn(rows: Sequence[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
+    """Weights after ``EPOCHS`` passes over (slots, shares, label)."""
+    model = Ftrl((1 << BITS) + EXTRA)
+    for _ in range(EPOCHS):
+        for at, x, y in rows:
+            model.learn(at, x.astype(np.float64), y)
+    return model.weights(slice(None))
+
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights that are not zero, from the rows of one task in their order."""
+    hasher = Hasher()
+    rows = []
     for batch in batches:
-        for s, text, y in zip(*(batch.column(c).to_pylist() for c in ("shard", "text", "y")), strict=True):
-            if s != shard and rows:
-                yield out()
-                rows = []
-            shard = s
-            at, x = counts(text or "", hasher)
-            rows.append((at, x, y))
+        for text, y in zip(texts(batch, "text"), batch.column("y").to_pylist(), strict=True):
+            at, x = counts(text, hasher)
+            rows.append((at.astype(np.int32), x.astype(np.float32), y))
     if rows:
-        yield out()
+        w = learn(rows)
+        used = np.flatnonzero(w)
+        yield pa.RecordBatch.from_pydict({"slot": used, "weight": w[used]})
 
 
 def fit(
@@ -154,21 +149,17 @@ def fit(
         .join(F.broadcast(chosen), "_id")
         .groupBy("_id", "y")
         .agg(F.min("text").alias("text"))
-        .withColumn("shard", F.pmod(F.xxhash64("_id"), F.lit(SHARDS)).cast("int"))
         .withColumn("place", F.xxhash64(F.lit(7), "_id"))
     )
-    weights = (
-        rows.repartition(SHARDS, "shard")
-        .sortWithinPartitions("shard", "place", "_id")
-        .select("shard", "text", "y")
-        .mapInArrow(_fit_shards, "slot long, weight double")
-        .groupBy("slot")
-        .agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
-        .select("slot", "weight")
+    got = (
+        rows.repartition(1)
+        .sortWithinPartitions("place", "_id")
+        .select("text", "y")
+        .mapInArrow(_fit, "slot long, weight double")
+        .toArrow()
     )
     model = np.zeros((1 << BITS) + EXTRA, dtype=np.float32)
-    got = weights.toArrow()
-    model[got.column("slot").to_numpy()] = got.column("weight").to_numpy() / SHARDS
+    model[got.column("slot").to_numpy()] = got.column("weight").to_numpy()
     return model
 
 
