@@ -62,6 +62,17 @@ def test_top_n_leaves_out_bought_items_and_saturated_scores(spark, users, items,
     assert got == {u: l for u, l in want.items() if l}
 
 
+@pytest.mark.parametrize("slice_bytes", [10**9, 5 * 8 * 9])
+def test_excluded_items_outside_the_catalogue_change_nothing(spark, users, items, slice_bytes):
+    gone = [(u, i) for u in range(NU) for i in (-5, NI, NI + 50)] + [(0, best(0, 1)[0])]
+    some = items.where(f"{I} % 3 <> 1")
+    gone += [(u, i) for u in range(NU) for i in range(NI) if i % 3 == 1]
+    bought = spark.createDataFrame(gone, f"{U} bigint, {I} bigint")
+    got = listed(scoring.top_n(users, some, 3, offset=0.5, exclude=bought, slice_bytes=slice_bytes))
+    out = {i for i in range(NI) if i % 3 == 1}
+    assert got == {u: best(u, 3, out | ({best(0, 1)[0]} if u == 0 else set())) for u in range(NU)}
+
+
 @pytest.mark.parametrize("slice_bytes", [10**9, 5 * 8 * 9])
 def test_score_summary(users, items, slice_bytes):
     got = {r[U]: r for r in scoring.score_summary(users, items, offset=0.5, slice_bytes=slice_bytes).collect()}

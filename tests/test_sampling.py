@@ -63,7 +63,9 @@ def test_ratio_negatives_keep_the_drawn_items(small):
     zeros = [r for r in rows if r.label == 0]
     assert len(rows) == 4 * n and len(zeros) == 3 * n
     assert sorted(r.draw for r in zeros) == list(range(3 * n))
-    clean = sampling.ratio_negatives(small, 3, exclude_positives=True).where("label = 0")
+    clean = materialize(sampling.ratio_negatives(small, 3, exclude_positives=True).where("label = 0"))
+    assert sorted(r.draw for r in clean.collect()) == list(range(3 * n))
+    assert sampling.ratio_negatives(small, 1.5).where("label = 0").count() == int(1.5 * n)
     assert not as_set(clean, "customer_id", "product_id") & as_set(small, "customer_id", "product_id")
 
 
@@ -137,6 +139,38 @@ def test_all_rounds_are_all_rated_triplets_once(rated):
     assert counts.where("u >= 50").count() == 0
 
 
+def test_whole_triplets_are_the_numbered_sides(rated):
+    got = triplets.RatedTriplets(rated, "u", "i", F.col("r") > 3).whole().collect()
+    sides = {}
+    for r in got:
+        sides.setdefault(r.u, ([], []))[0 if r.liked else 1].append(r)
+    rows = rated.collect()
+    want = {(a.u, a.i, b.i) for a in rows for b in rows if a.u == b.u and a.r > 3 and not b.r > 3}
+    assert {(u, a.i, b.i) for u, (x, y) in sides.items() for a in x for b in y} == want
+    for x, y in sides.values():
+        assert {r.positives for r in x + y} == {len(x)} and {r.negatives for r in x + y} == {len(y)}
+        assert sorted(r.place for r in x) == list(range(len(x))) and sorted(r.place for r in y) == list(range(len(y)))
+
+
+def test_wrapped_rounds_keep_every_user_with_both_sides(rated):
+    made = triplets.RatedTriplets(rated, "u", "i", F.col("r") > 3)
+    both = {r.u for r in triplets.triplet_counts(rated, "u", "i", F.col("r") > 3).collect()}
+    for epoch in (1, 2, 5, 17, 60):
+        rows = made.rounds(range(4 * (epoch - 1), 4 * epoch), wrap=True).collect()
+        assert {r.u for r in rows} == both
+        assert len({(r.u, r.positive, r.negative) for r in rows}) == len(rows)
+
+
+def test_whole_catalogue_triplets(small):
+    few = materialize(small.where("customer_id < 4"))
+    got = triplets.catalogue_whole(few, "customer_id", "product_id", 30).collect()
+    seen = as_set(few, "customer_id", "product_id")
+    assert {(r.customer_id, r.first_code) for r in got if r.seen} == seen
+    unseen = {(r.customer_id, c) for r in got if not r.seen for c in range(r.first_code, r.last_code + 1)}
+    assert unseen == {(u, n) for u in {u for u, _ in seen} for n in range(30)} - seen
+    assert all(r.n_seen + r.n_unseen == 30 for r in got)
+
+
 def test_a_round_gives_each_positive_one_negative(rated):
     made = triplets.RatedTriplets(rated, "u", "i", F.col("r") > 3)
     one = made.rounds([0])

@@ -28,6 +28,30 @@ def test_transactions_with_decimal_comma_and_bad_lines(spark, tmp_path):
     assert readers.read_transactions(spark, str(path)).count() == 4
 
 
+def test_quotes_inside_texts_and_short_bad_lines(spark, tmp_path):
+    import pandas as pd
+
+    path = tmp_path / "raw.csv"
+    path.write_text(
+        "DOC_NUMBER_TEXT,CALDAY,MATERIAL,MATERIAL_TEXT,MATL_GROUP,QUANTITY,is_accessory,CUSTOMER_ID\n"
+        '1,20200101,m1,"x, ""y"", z",g,"1,5",True,c1\n'
+        "2,20200102,m2,pump,g,bad\n"
+        '3,20200102,m2,"a ""b"", c",g,"2,5"\n'
+    )
+    got = readers.read_transactions(spark, str(path)).orderBy("DOC_NUMBER_TEXT").collect()
+    assert [(r.DOC_NUMBER_TEXT, r.MATERIAL_TEXT, r.QUANTITY) for r in got] == [
+        ("1", 'x, "y", z', 1.5), ("3", 'a "b", c', 2.5)
+    ]
+    texts = ['x, "y", z', "plain", 'a "b"', "c\\d, e"]
+    frame = pd.DataFrame({"u": range(4), "t": texts})
+    frame.to_csv(tmp_path / "p.csv", index=False)
+    schema = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("s", T.StringType())])
+    assert [r.s for r in readers.read_renamed(spark, str(tmp_path / "p.csv"), schema).orderBy("n").collect()] == texts
+    sinks.write_csv(spark.createDataFrame(frame).coalesce(1), str(tmp_path / "out"))
+    back = pd.read_csv(next((tmp_path / "out").glob("part-*")))
+    assert back.sort_values("u").t.tolist() == texts
+
+
 def test_renamed_by_position(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text("A,B\n1,2\n")

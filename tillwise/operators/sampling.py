@@ -7,8 +7,9 @@ exactly in another engine.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.functions.hashing import digest, draw
@@ -156,37 +157,61 @@ def labelled_chunks(
 
 
 def ratio_negatives(
-    pairs: DataFrame, ratio: int = 3, user: str = "customer_id", item: str = "product_id",
+    pairs: DataFrame, ratio: float = 3, user: str = "customer_id", item: str = "product_id",
     salt: str = "ratio", exclude_positives: bool = False,
 ) -> DataFrame:
-    """Positives (label 1.0) and ``ratio`` times as many drawn pairs (label 0.0).
+    """Positives (label 1.0) and ``ratio`` times as many (rounded down) drawn pairs (label 0.0).
 
     Rows are drawn with replacement by a seeded index, then the drawn items
     are shuffled among the draws.  A drawn pair may repeat, and may be a
-    positive unless ``exclude_positives`` is set.  ``draw`` numbers the draws
-    and is -1 for positives.
+    positive unless ``exclude_positives`` is set: then draws that hit one get
+    another item until none does, at an error if some user has every item.
+    ``draw`` numbers the draws and is -1 for positives.
     """
     numbered = materialize(
         hash_rank(pairs.select(user, item), digest(f"{salt}-row", user, item), user, item, name="row"),
         "rows",
     )
-    total = numbered.agg(F.count(F.lit(1))).scalar()
-    draws = numbered.select(
-        F.explode(F.array(*[F.col("row") * ratio + i for i in range(ratio)])).alias("draw")
-    ).withColumn("row", F.pmod(draw(digest(f"{salt}-draw", "draw")), total))
+    count = numbered.count()
+    total = F.lit(count)
+    draws = pairs.sparkSession.range(int(count * ratio)).toDF("draw").withColumn("row", F.pmod(draw(digest(f"{salt}-draw", "draw")), total))
     drawn = materialize(draws.join(numbered, "row").select("draw", user, item), "draws")
     items = hash_rank(
         drawn.select("draw", item), digest(f"{salt}-item", "draw"), "draw", name="place"
     ).select(F.col("place").alias("draw"), item)
     zeros = drawn.select("draw", user).join(items, "draw")
     if exclude_positives:
-        zeros = zeros.join(pairs.select(user, item).distinct(), [user, item], "left_anti")
+        zeros = _redrawn(zeros, materialize(pairs.select(user, item).distinct(), "known"), numbered, total, user, item, salt)
     return (
         pairs.select(user, item, F.lit(1.0).alias("label"), F.lit(-1).cast("bigint").alias("draw"))
         .unionByName(zeros.select(user, item, F.lit(0.0).alias("label"), "draw"))
     )
 
 
+def _redrawn(
+    zeros: DataFrame, known: DataFrame, numbered: DataFrame, total: Column, user: str, item: str, salt: str
+) -> DataFrame:
+    """Draws without known pairs: those that hit one draw another item, round by round."""
+    n_items = known.select(item).distinct().count()
+    if not known.groupBy(user).count().where(F.col("count") >= n_items).isEmpty():
+        raise ValueError("a user has every item, no negative exists")
+    good: list[DataFrame] = []
+    left = materialize(zeros, "zeros")
+    again = 0
+    while True:
+        good.append(left.join(known, [user, item], "left_anti"))
+        left = left.join(known, [user, item], "left_semi").select("draw", user)
+        again += 1
+        left = materialize(
+            left.withColumn("row", F.pmod(draw(digest(f"{salt}-again-{again}", "draw")), total))
+            .join(numbered.select("row", item), "row")
+            .drop("row"),
+            "again",
+        )
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, [g.select("draw", user, item) for g in good])
+
+
 def unseen_ranges(
     pairs: DataFrame, user: str, code: str, n_items: int, block: int = 65_536
 ) -> DataFrame:

@@ -459,20 +459,34 @@ unseen AS (SELECT customer_id, code FROM users, codes
   WHERE (customer_id, product_id) NOT IN (SELECT (customer_id, product_id) FROM pairs)),
 runs AS (SELECT customer_id, code, code - row_number() OVER (PARTITION BY customer_id ORDER BY code) AS run FROM unseen)
 SELECT customer_id, min(code) AS first_code, max(code) AS last_code FROM runs GROUP BY customer_id, run""",
-        "rated_triplets": f"""WITH {PAIRS},{TRIPLETS}
-SELECT customer_id, positive, negative, CAST("round" AS BIGINT) AS "round" FROM triplets""",
+        "rated_triplets": f"""WITH {PAIRS},
+numbered AS (SELECT customer_id, product_id, quantity_sum > 25 AS liked,
+    row_number() OVER (PARTITION BY customer_id, quantity_sum > 25 ORDER BY product_id) - 1 AS place,
+    count(*) FILTER (WHERE quantity_sum > 25) OVER (PARTITION BY customer_id) AS positives,
+    count(*) FILTER (WHERE NOT quantity_sum > 25) OVER (PARTITION BY customer_id) AS negatives FROM pairs)
+SELECT * FROM numbered WHERE positives > 0 AND negatives > 0""",
         "triplet_counts": f"""WITH {PAIRS},
 sides AS (SELECT customer_id, count(*) FILTER (WHERE quantity_sum > 25) AS positives,
     count(*) FILTER (WHERE NOT quantity_sum > 25) AS negatives FROM pairs GROUP BY customer_id)
 SELECT *, positives * negatives AS triplets FROM sides WHERE positives > 0 AND negatives > 0""",
         "catalogue_triplets": f"""WITH {PAIRS},
-codes AS (SELECT product_id, row_number() OVER (ORDER BY product_id) - 1 AS code, count(*) OVER () AS n
+codes AS (SELECT product_id, row_number() OVER (ORDER BY product_id) - 1 AS code
   FROM (SELECT DISTINCT product_id FROM pairs)),
-coded AS (SELECT customer_id, code, n FROM pairs JOIN codes USING (product_id)),
-moved AS (SELECT customer_id, code AS positive, (code + r) % n AS negative, r AS "round"
-  FROM coded, (SELECT unnest([1, 2, 3]) AS r))
-SELECT customer_id, positive, negative, CAST("round" AS BIGINT) AS "round" FROM moved m
-WHERE NOT EXISTS (SELECT 1 FROM coded c WHERE c.customer_id = m.customer_id AND c.code = m.negative)""",
+coded AS (SELECT customer_id, code FROM pairs JOIN codes USING (product_id)),
+users AS (SELECT customer_id, count(*) AS n_seen, (SELECT count(*) FROM codes) - count(*) AS n_unseen
+  FROM coded GROUP BY customer_id),
+unseen AS (SELECT customer_id, code FROM users, codes
+  WHERE (customer_id, code) NOT IN (SELECT (customer_id, code) FROM coded)),
+runs AS (SELECT customer_id, code, code - row_number() OVER (PARTITION BY customer_id ORDER BY code) AS run FROM unseen),
+both_ AS (SELECT customer_id, true AS seen, code AS first_code, code AS last_code FROM coded
+  UNION ALL SELECT customer_id, false, min(code), max(code) FROM runs GROUP BY customer_id, run)
+SELECT both_.*, n_seen, n_unseen FROM both_ JOIN users USING (customer_id)""",
+        "transactions_csv": f"""WITH {RAW}
+SELECT CAST(doc_number_text AS VARCHAR) AS doc_number_text, CAST(calday AS VARCHAR) AS calday,
+  CAST(material AS VARCHAR) AS material, '"' || material_text || '", ' || matl_group AS material_text, matl_group,
+  quantity, is_accessory, CAST(customer_id AS VARCHAR) AS customer_id FROM dirty""",
+        "chunk_files": f"""WITH {PAIRS}
+SELECT customer_id, product_id, quantity_sum, {_chunk(5)} AS chunk FROM pairs""",
         "synthetic_pairs": f"""WITH {PAIRS},
 placed AS (SELECT row_number() OVER (ORDER BY {TIME}) - 1 AS position, first_purchase, quantity_sum FROM pairs),
 {_shuffled('pairs', 'shuffled', 'synthetic')}

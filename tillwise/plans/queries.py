@@ -18,7 +18,7 @@ from tillwise.operators import encode, evaluation, features, ranking, sampling,
 from tillwise.plans import crossval, learners, scoring
 from tillwise.plans import factorization as mf
 from tillwise.scratch import materialize, new_path
-from tillwise.sources import tables
+from tillwise.sources import readers, sinks, tables
 from tillwise.streaming import running
 
 USER, ITEM = "customer_id", "product_id"
@@ -60,6 +60,31 @@ def _text(df: DataFrame, *dates: str) -> DataFrame:
     return df.withColumns({d: F.col(d).cast("string") for d in dates})
 
 
+# -- files -------------------------------------------------------------------
+
+def transactions_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw transactions written as CSV with decimal commas and quoted texts, and read back."""
+    raw = tables.raw_transactions(spark, folder)
+    path = new_path(spark, "csv")
+    quoted = F.concat(F.lit('"'), "material_text", F.lit('", '), F.col("matl_group"))
+    sinks.write_csv(
+        raw.withColumns(
+            {"quantity": F.translate(F.col("quantity").cast("string"), ".", ","), "material_text": quoted}
+        ),
+        path,
+    )
+    back = readers.read_transactions(spark, path)
+    return back.select(*[F.col(c).alias(c.lower()) for c in back.columns])
+
+
+def chunk_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs written as one folder of files a chunk, and read back."""
+    path = new_path(spark, "chunks")
+    sinks.write_chunks(splits.time_chunks(_written_pairs(spark, folder), 5, *TIME_ORDER), path)
+    back = spark.read.parquet(path)
+    return back.select(USER, ITEM, "quantity_sum", F.col("chunk").cast("bigint").alias("chunk"))
+
+
 # -- curation and features -------------------------------------------------
 
 def curate_ds1(spark: SparkSession, folder: str) -> DataFrame:
@@ -250,8 +275,8 @@ def complement(spark: SparkSession, folder: str) -> DataFrame:
 # -- sampling --------------------------------------------------------------
 
 def rated_triplets(spark: SparkSession, folder: str) -> DataFrame:
-    made = triplets.RatedTriplets(_pairs(spark, folder), USER, ITEM, _liked())
-    return made.rounds(range(4))
+    """All triplets of rated items, as numbered sides."""
+    return triplets.RatedTriplets(_pairs(spark, folder), USER, ITEM, _liked()).whole()
 
 
 def triplet_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -264,7 +289,7 @@ def catalogue_triplets(spark: SparkSession, folder: str) -> DataFrame:
     coded = materialize(
         encode.lookup(pairs, codes, ITEM, "code", spread=USER).select(USER, "code"), "coded"
     )
-    return triplets.catalogue_rounds(coded, USER, "code", codes.count(), range(1, 4))
+    return triplets.catalogue_whole(coded, USER, "code", codes.count())
 
 
 def synthetic_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -362,7 +387,7 @@ def _bpr(spark: SparkSession, folder: str) -> tuple[mf.PairwiseRanking, DataFram
     pairs = _written_pairs(spark, folder)
     made = triplets.RatedTriplets(pairs, USER, ITEM, _liked())
     ranker = mf.PairwiseRanking(
-        lambda epoch: made.rounds(range(4 * (epoch - 1), 4 * epoch)), USER, mf.Settings(rank=4, rate=0.5)
+        lambda epoch: made.rounds(range(4 * (epoch - 1), 4 * epoch), wrap=True), USER, mf.Settings(rank=4, rate=0.5)
     )
     start = materialize(
         mf.start_model(pairs.select(USER).distinct(), pairs.select(ITEM).distinct(), 4), "model"
@@ -402,8 +427,10 @@ def als_ratings(spark: SparkSession, folder: str) -> DataFrame:
     users, items, offset = learners.rating_factors(train, USER, ITEM, "rating")
     p = users.select(USER, F.col("factors").alias("p"))
     q = items.select(ITEM, F.col("factors").alias("q"))
-    held_out = rated.where(~F.col("is_train")).join(p, USER).join(q, ITEM)
-    scored = held_out.withColumn("predicted", array_dot(F.col("p"), F.col("q")) + offset)
+    held_out = rated.where(~F.col("is_train")).join(p, USER, "left").join(q, ITEM, "left")
+    # Ids without factors are scored by the mean alone.
+    dot = F.coalesce(array_dot(F.col("p"), F.col("q")), F.lit(0.0))
+    scored = held_out.withColumn("predicted", dot + offset)
     return evaluation.mean_error(scored, "rating", "predicted")
 
 
@@ -578,7 +605,7 @@ def stream_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     found = [
-        flagship, curate_ds1, curate_ds2, mcq, interaction_features, global_mean, dataset_profile,
+        transactions_csv, chunk_files, flagship, curate_ds1, curate_ds2, mcq, interaction_features, global_mean, dataset_profile,
         first_non_null, quantile_histogram, equal_width_rating, quartile_rating, shift_years,
         time_chunks, random_split, holdout_heavy_users, ground_truth, cv_folds, cv_posneg_folds,
         catalogues, cardinalities, oov_lookup, positive_pairs, complement, rated_triplets,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,8 @@ def read_transactions(
     """CSV with a header and decimal commas; malformed lines are dropped.
 
     A line with too many fields or an unreadable value is malformed; a line
-    with too few is filled up with NULL.  Decimal columns carry the comma (a
+    with too few is filled up with NULL.  Doubled quotes inside a quoted text
+    are one quote.  Decimal columns carry the comma (a
     locale setting) and come out as doubles.  Bad lines are told by the record
     column, not by a drop mode, so the choice of columns cannot change them.
     """
@@ -38,6 +40,7 @@ def read_transactions(
         spark.read.schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType())]))
         .option("header", True)
         .option("locale", "de")
+        .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", bad)
         .csv(path)
@@ -45,11 +48,18 @@ def read_transactions(
     unquoted = F.regexp_replace(bad, '"[^"]*"', "")
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
     decimals = [f.name for f in schema if isinstance(f.dataType, T.DecimalType)]
+    # Of a short line the values that are there must be readable all the same.
+    plain = ", ".join(f"`{f.name}` string" for f in schema)
+    there = F.from_csv(bad, plain, {"escape": '"'})
+    unread = reduce(
+        lambda a, b: a | b,
+        [(F.length(F.coalesce(there[f.name], F.lit(""))) > 0) & F.col(f.name).isNull() for f in schema],
+    )
     # A value nobody asks for is not parsed, and so not found to be bad.  This
     # condition always holds; it asks for every column.
     parsed = F.length(F.concat_ws("", *[F.col(f.name).cast("string") for f in schema])) >= 0
     return (
-        rows.where((F.col(bad).isNull() | (fields < len(schema))) & parsed)
+        rows.where((F.col(bad).isNull() | ((fields < len(schema)) & ~unread)) & parsed)
         .drop(bad)
         .withColumns({c: F.col(c).cast("double") for c in decimals})
     )
@@ -60,7 +70,11 @@ def read_renamed(
 ) -> DataFrame:
     """CSV whose header line is replaced, by position, with the schema's names."""
     return (
-        spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+        spark.read.schema(schema)
+        .option("header", True)
+        .option("enforceSchema", True)
+        .option("escape", '"')
+        .csv(path)
     )
 
 

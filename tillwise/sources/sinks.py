@@ -11,14 +11,22 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with a header in every part file."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header in every part file; quotes inside a text are doubled."""
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 def write_chunks(
-    df: DataFrame, path: str, chunk: str = "chunk", files_per_chunk: int = 8
+    df: DataFrame, path: str, chunk: str = "chunk", files_per_chunk: int | None = None,
+    rows_per_file: int = 1_000_000,
 ) -> None:
-    """One folder per chunk, its rows dealt over several tasks by a row hash."""
+    """One folder per chunk, its rows dealt over several tasks by a row hash.
+
+    Without ``files_per_chunk`` the largest chunk gets a file for every
+    ``rows_per_file`` rows, and the others as many.
+    """
+    if files_per_chunk is None:
+        largest = df.groupBy(chunk).count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+        files_per_chunk = -(-largest // rows_per_file)
     dealt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_chunk))
     df.repartition(F.col(chunk), dealt).write.partitionBy(chunk).parquet(path)
 
