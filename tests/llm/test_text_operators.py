@@ -46,9 +46,9 @@ def test_quality_edges(spark, edge, nothing):
 
 def test_a_long_text_is_counted_in_pieces_like_a_whole(monkeypatch):
     text = " ".join(random.Random(1).choices(["a", "bc", "d", "e f"], k=500))
-    whole = quality.counts(text, quality.Hasher())
+    whole = quality.counts(text)
     monkeypatch.setattr(quality, "WORDS_AT_ONCE", 7)
-    cut = quality.counts(text, quality.Hasher())
+    cut = quality.counts(text)
     assert whole[0].tolist() == cut[0].tolist() and np.allclose(whole[1], cut[1])
 
 

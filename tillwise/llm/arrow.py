@@ -15,6 +15,14 @@ Make = Callable[[], Callable[[pa.RecordBatch], Sequence[object]]]
 
 #: Rows and bytes of text that are worked on at once, so that what is made of long texts stays small.
 PIECE_ROWS, PIECE_BYTES = 1_000, 4 << 20
+#: Bytes of a batch that goes to a Python worker; a single row may be larger.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, its session set to batches of ``BATCH_BYTES``: rows of text differ too much to count them."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
 
 
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -55,8 +63,11 @@ def with_columns(df: DataFrame, fields: Sequence[tuple[str, str]], make: Make) -
                     for values, t in zip(work(batch), types, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
+        # Workers live on: what this task needed goes back to the machine.
+        del work
+        pa.default_memory_pool().release_unused()
 
-    return kept.mapInArrow(run, out)
+    return bounded(kept).mapInArrow(run, out)
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:

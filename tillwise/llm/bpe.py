@@ -29,7 +29,7 @@ NONE = np.int64(2**62)
 #: Number of tokens, their ids, their names.
 Shown = tuple[int, str, str]
 #: Words and white-space separated pieces whose encoding a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 #: Leaves of the trees that are walked together.
 LEAVES_AT_ONCE = 1 << 20
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tillwise.llm.arrow import pieces, texts, with_columns
+from tillwise.llm.arrow import bounded, pieces, texts, with_columns
 from tillwise.scratch import materialize
 
 #: The end of a text, a token like any word, and what stands before its first; no word has a blank.
@@ -210,7 +210,7 @@ def assess(
     in a join.  Without a training text all counts are zero.
     """
     spark = documents.sparkSession
-    corpus = documents.where(learns).select(F.col(text).alias("text"))
+    corpus = bounded(documents).where(learns).select(F.col(text).alias("text"))
     words = materialize(word_counts(corpus), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     most = words.orderBy(F.col("n").desc(), "key").limit(frequent).toArrow()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.arrow import texts, with_columns
+from tillwise.llm.arrow import bounded, texts, with_columns
 
 BITS = 18
 #: At most so many labelled texts are learned from.
@@ -30,17 +30,7 @@ EXTRA = 2
 WORDS_AT_ONCE = 1 << 20
 
 
-class Hasher(dict):
-    """Hash of a word, kept for the most recent words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
-            self.clear()
-        value = self[word] = zlib.crc32(word)
-        return value
-
-
-def counts(text: str, hasher: Hasher, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def counts(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Slots and shares of the one- and two-word n-grams of a whole text, each sum of shares being one."""
     words = text.encode("utf-8", "replace").split()
     slots = np.array([1 << bits], dtype=np.int64)
@@ -54,7 +44,7 @@ def counts(text: str, hasher: Hasher, bits: int = BITS) -> tuple[np.ndarray, np.
     for at in range(0, len(words), WORDS_AT_ONCE):
         piece = words[at : at + WORDS_AT_ONCE]
         seen.update(piece)
-        h = np.fromiter(map(hasher.__getitem__, piece), np.uint64, len(piece))
+        h = np.fromiter(map(zlib.crc32, piece), np.uint64, len(piece))
         if last is not None:
             h = np.concatenate([last, h])
         two = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)
@@ -109,11 +99,10 @@ def learn(rows: Sequence[tuple[np.ndarray, np.ndarray, int]]) -> np.ndarray:
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Weights that are not zero, from the rows of one task in their order."""
-    hasher = Hasher()
     rows = []
     for batch in batches:
         for text, y in zip(texts(batch, "text"), batch.column("y").to_pylist(), strict=True):
-            at, x = counts(text, hasher)
+            at, x = counts(text)
             rows.append((at.astype(np.int32), x.astype(np.float32), y))
     if rows:
         w = learn(rows)
@@ -145,7 +134,7 @@ def fit(
         known = known.where(learn_from)
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     rows = (
-        documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+        bounded(documents).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
         .join(F.broadcast(chosen), "_id")
         .groupBy("_id", "y")
         .agg(F.min("text").alias("text"))
@@ -168,12 +157,12 @@ def score(docs: DataFrame, model: np.ndarray, text: str = "text", out: str = "sc
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        weights, hasher = sent.value, Hasher()
+        weights = sent.value
 
         def work(batch: pa.RecordBatch):
             found = []
             for t in texts(batch, text):
-                at, x = counts(t, hasher)
+                at, x = counts(t)
                 found.append(sigmoid(float(weights[at] @ x)))
             return [found]
 
