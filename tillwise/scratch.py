@@ -82,6 +82,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop_all(spark: SparkSession) -> None:
+    """Delete the application's folder; no written table may be used afterwards."""
+    _delete(spark, scratch_root(spark))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; exact file size for a written table."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
