@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from tillwise.operators import evaluation
 from tillwise.plans import factorization as mf
 from tillwise.plans import learners, scoring
-from tillwise.scratch import materialize
+from tillwise.scratch import discard, materialize
 
 U, I = "customer_id", "product_id"
 RNG = np.random.default_rng(3)
@@ -201,6 +203,15 @@ def test_two_steps_equal_numpy_and_the_loss_falls(spark):
     test = np.mean([(r.r - predicted[r.u, r.i]) ** 2 for r in rows if r.test])
     assert history[-1][2:] == pytest.approx((train, test))
     assert history[1][2] < history[0][2]
+    kept, gone = (Path(m.inputFiles()[0].removeprefix("file:")).exists() for m in (history[-1][1], history[0][1]))
+    assert kept and not gone
+
+
+def test_only_tables_of_the_application_are_discarded(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        discard(spark.read.parquet(str(tmp_path / "other")))
+    assert spark.read.parquet(str(tmp_path / "other")).count() == 3
 
 
 def test_biases_can_be_left_out_and_unseen_ids_stay(spark):
@@ -241,8 +252,9 @@ def test_pairwise_ranking_loss_falls(spark):
     made = RatedTriplets(rated, "u", "i", F.col("r") > 3)
     ranker = mf.PairwiseRanking(lambda e: made.rounds([0, 1]), "u", mf.Settings(rank=2, rate=3.0, penalty=0.0))
     start = materialize(mf.start_model(rated.select("u").distinct(), rated.select("i").distinct(), 2))
-    losses = [loss for _, _, loss in ranker.epochs(start, 4)]
-    assert losses[-1] < losses[0]
+    history = list(ranker.epochs(start, 4))
+    assert history[-1][2] < history[0][2]
+    assert start.count() == history[-1][1].count() == 16  # the caller's start stays
 
 
 def test_retrieval_beats_chance_on_two_blocks(spark):

@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.functions.hashing import digest, draw
-from tillwise.operators.curate import positive_pairs, without_keys_of
+from tillwise.operators.curate import positive_pairs, unique_keys_only
 from tillwise.operators.features import first_present, shift_years
 from tillwise.operators.ranking import first_rows, global_rank, hash_rank
 from tillwise.operators.skew import hot_keys, spread_join
 from tillwise.operators.splits import time_chunks
-from tillwise.scratch import materialize, temporary
+from tillwise.scratch import discard, materialize, temporary
 
 MAX_ROUNDS = 50
 
@@ -86,7 +86,8 @@ def grow(
             merged = first_present(
                 together, [user, item], F.col("_age"), [c for c in columns if c not in (user, item)]
             )
-            grown = keep(merged.select(*columns), "grow")
+            old, grown = grown, keep(merged.select(*columns), "grow")
+        discard(old)
         before, n = n, grown.count()
         if n == before:
             raise ValueError(f"no new pair in round {step}; {n} of {size} rows made")
@@ -127,10 +128,16 @@ def negative_pairs(
     pool = known.select(*keys, F.lit(0).alias("generation"), F.lit(0).cast("bigint").alias("position"))
     n = 0
     for step in range(1, max_rounds + 1):
-        made = shuffled_pairs(pool, user, item, f"negative{step}").select(
-            *keys, F.lit(step).alias("generation"), "position"
-        )
-        pool = materialize(without_keys_of(pool.unionByName(made), known, keys), "negatives")
+        with temporary(positives.sparkSession) as keep:
+            made = shuffled_pairs(pool, user, item, f"negative{step}").select(
+                *keys, F.lit(step).alias("generation"), "position"
+            )
+            # From the second round on the pool itself holds no positive.
+            fresh = made.join(known.select(*keys), keys, "left_anti")
+            together = fresh if step == 1 else pool.unionByName(fresh)
+            old, pool = pool, keep(unique_keys_only(together, keys), "negatives")
+        if step > 1:
+            discard(old)
         n = pool.count()
         if n >= size:
             break

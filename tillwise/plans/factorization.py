@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.hashing import digest, unit
 from tillwise.functions.scores import biased_score, dot, log_loss, sigmoid, triplet_loss
 from tillwise.operators.skew import hot_keys, spread_join
-from tillwise.scratch import materialize
+from tillwise.scratch import discard, materialize
 
 
 def factor_names(rank: int) -> list[str]:
@@ -213,7 +213,8 @@ class Factorization:
         """Run ``n`` steps; yields (epoch, model, train loss, test loss) after each.
 
         The losses of a model fall out of the step that starts from it, so
-        only the last model needs a pass of its own.
+        only the last model needs a pass of its own.  A model is deleted when
+        the next one is asked for; the last stays.
         """
         current = materialize(self.step(model), "model")
         for epoch in range(1, n + 1):
@@ -229,6 +230,8 @@ class Factorization:
                     F.sum(F.when(~learned, F.col("loss"))), F.count_if(~learned),
                 ).first()
             yield epoch, current, _ratio(row[0], row[1]), _ratio(row[2], row[3])
+            if following is not None:
+                discard(current)
             current = following
 
 
@@ -240,20 +243,25 @@ class PairwiseRanking:
     """Pairwise ranking: a user's positive should score above a negative.
 
     ``rounds(epoch)`` gives the (user, positive, negative) rows of an epoch.
+    Hot ids are found in the first triplets and reused: they steer how rows are
+    dealt over tasks, not the result.
     """
 
     def __init__(self, rounds: Callable[[int], DataFrame], user: str, settings: Settings):
         self.rounds, self.user, self.settings = rounds, user, settings
+        self.hot: dict[str, DataFrame | None] | None = None
 
     def scored(self, model: DataFrame, triplets: DataFrame) -> DataFrame:
         s = self.settings
         base = triplets.select(F.col(self.user).cast("bigint").alias("user"), "positive", "negative")
         rows = base
+        if self.hot is None:
+            self.hot = {key: hot_keys(base, key) for key in ("user", "positive", "negative")}
         for key, tag, prefix, other in (
             ("user", "u", "p", "positive"), ("positive", "i", "q", "user"), ("negative", "i", "r", "user"),
         ):
             rows = spread_join(
-                rows, side_of(model, tag, key, prefix, s.rank), key, [other], hot_keys(base, key)
+                rows, side_of(model, tag, key, prefix, s.rank), key, [other], self.hot[key]
             )
         p, q, r = ([F.col(f"{x}{k}") for k in range(s.rank)] for x in "pqr")
         return (
@@ -264,8 +272,10 @@ class PairwiseRanking:
 
     def step(self, model: DataFrame, epoch: int = 1) -> DataFrame:
         """One full-batch step down the mean of 1 - sigmoid(positive - negative)."""
+        return self._moved(model, materialize(self.rounds(epoch), "triplets"))
+
+    def _moved(self, model: DataFrame, triplets: DataFrame) -> DataFrame:
         s = self.settings
-        triplets = materialize(self.rounds(epoch), "triplets")
         rows = self.scored(model, triplets)
         pull = F.col("loss") * (F.lit(1.0) - F.col("loss"))
         p, q, r = ([F.col(f"{x}{k}") for k in range(s.rank)] for x in "pqr")
@@ -284,8 +294,15 @@ class PairwiseRanking:
         return _apply(model.select("side", "id", *factor_names(s.rank), "bias"), messages, s, losses)
 
     def epochs(self, model: DataFrame, n: int) -> Iterator[tuple[int, DataFrame, float]]:
-        """Run ``n`` steps; yields (epoch, model, mean loss the step started from)."""
+        """Run ``n`` steps; yields (epoch, model, mean loss the step started from).
+
+        A model is deleted when the next one is written; the last stays.
+        """
         for epoch in range(1, n + 1):
-            model = materialize(self.step(model, epoch), "model")
+            triplets = materialize(self.rounds(epoch), "triplets")
+            before, model = model, materialize(self._moved(model, triplets), "model")
+            discard(triplets)
+            if epoch > 1:
+                discard(before)
             total, rows = model.agg(F.sum("_sum_train_loss"), F.sum("_n_train_loss")).first()
             yield epoch, model, _ratio(total, rows)

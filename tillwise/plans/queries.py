@@ -530,7 +530,7 @@ def regression_error(spark: SparkSession, folder: str) -> DataFrame:
 
 def binary_metrics(spark: SparkSession, folder: str) -> DataFrame:
     pairs = _written_pairs(spark, folder)
-    labelled = sampling.ratio_negatives(pairs, 3, USER, ITEM)
+    labelled = materialize(sampling.ratio_negatives(pairs, 3, USER, ITEM), "labelled")
     scored = _predicted(pairs, labelled).withColumn("probability", F.round(sigmoid(F.col("score")), 9))
     out = evaluation.binary_metrics(scored, "label", "probability")
     return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "log_loss")})

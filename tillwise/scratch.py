@@ -82,6 +82,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the written table that ``df`` reads; it may not be used afterwards."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if scratch_root(spark).rsplit("/", 1)[-1] not in folder:
+            raise ValueError(f"{folder} is no table of this application")
+        _delete(spark, folder)
+
+
 def drop_all(spark: SparkSession) -> None:
     """Delete the application's folder; no written table may be used afterwards."""
     _delete(spark, scratch_root(spark))
