@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,17 +16,32 @@ from pyspark.sql.pandas.types import to_arrow_schema
 Make = Callable[[], Callable[[pa.RecordBatch], Sequence[object]]]
 
 #: Rows and bytes of text that are worked on at once, so that what is made of long texts stays small.
-PIECE_ROWS, PIECE_BYTES = 1_000, 4 << 20
+PIECE_ROWS, PIECE_BYTES = 1_000, 1 << 20
 #: Bytes of a batch that goes to a Python worker; a single row may be larger.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
+#: Rows that the scan decodes at once: the texts of 4,096 rows, the default, make arrays of many MB each time.
+READ_ROWS = 256
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df``, its session set to batches of ``BATCH_BYTES``: rows of text differ too much to count them."""
+    """``df``, its session set to small batches: rows of text differ too much to count them in thousands."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     return df
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: workers live on after a task, and so would all that it once needed."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows; a single row is never cut."""
     sizes = np.zeros(batch.num_rows, dtype=np.int64)
@@ -63,9 +80,8 @@ def with_columns(df: DataFrame, fields: Sequence[tuple[str, str]], make: Make) -
                     for values, t in zip(work(batch), types, strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
-        # Workers live on: what this task needed goes back to the machine.
         del work
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return bounded(kept).mapInArrow(run, out)
 

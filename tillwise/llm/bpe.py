@@ -31,7 +31,7 @@ Shown = tuple[int, str, str]
 #: Words and white-space separated pieces whose encoding a worker remembers.
 REMEMBERED = 50_000
 #: Leaves of the trees that are walked together.
-LEAVES_AT_ONCE = 1 << 20
+LEAVES_AT_ONCE = 1 << 18
 
 
 def byte_letters() -> list[str]:

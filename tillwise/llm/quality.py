@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.arrow import bounded, texts, with_columns
+from tillwise.llm.arrow import bounded, give_back, texts, with_columns
 
 BITS = 18
 #: At most so many labelled texts are learned from.
@@ -107,7 +107,9 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if rows:
         w = learn(rows)
         used = np.flatnonzero(w)
+        del rows
         yield pa.RecordBatch.from_pydict({"slot": used, "weight": w[used]})
+    give_back()
 
 
 def fit(
