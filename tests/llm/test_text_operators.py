@@ -88,6 +88,41 @@ def test_the_filter_holds_every_count_of_the_corpus(documents):
     assert (unseen == 0).mean() > 0.9
 
 
+def test_the_filter_grows_with_the_corpus():
+    for total in (10**6, 5 * 10**9, 10**12):
+        made = language_model.Filter(total)
+        assert made.segments * made.width >= language_model.BITS_A_TOKEN * total
+        assert made.width <= 16 * 2**20  # what a task holds of one segment does not grow
+        keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
+        assert (np.diff(made.home(keys)) >= 0).all() and made.home(keys).max() < made.segments
+
+
+def test_dealt_segments_give_the_scores_of_one_whole_filter(documents, monkeypatch):
+    """Many units, more segments than usual and few keys at once, against plain probes of the filter in one place."""
+    monkeypatch.setattr(language_model, "SEGMENT_TOKENS", 4)
+    monkeypatch.setattr(language_model, "KEYS_AT_ONCE", 500)
+    monkeypatch.setattr(language_model, "TOKENS_AT_ONCE", 300)
+    learns = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
+    got = {r.doc_id: r for r in language_model.assess(documents.repartition(7), learns, frequent=50).collect()}
+    corpus = documents.where(learns)
+    total = next(iter(got.values())).train_tokens
+    made = language_model.build(corpus, total)
+    assert made.segments > language_model.SEGMENTS
+    hasher = language_model.Hasher()
+    distinct = {t for r in corpus.collect() for t in [*words(r.text), b" end"]}
+    mass = total + 0.5 * (len(distinct) + 1)
+    count = np.minimum(language_model.count_of_level(), total)
+    rows = documents.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        word = language_model.tokens(r.text or "", hasher)
+        before = np.concatenate([[np.uint64(language_model.xxh64_intdigest(language_model.START))], word[:-1]])
+        single, context = count[made.read(word)], count[made.read(before)]
+        joint = np.minimum(count[made.read(language_model.pair(before, word))], context)
+        p = (joint + language_model.WEIGHT * (single + 0.5) / mass) / (context + language_model.WEIGHT)
+        assert got[r.doc_id].score == pytest.approx(np.log10(p).sum())
+
+
 def test_language_model_edges(edge, nothing):
     rows = language_model.evaluate(edge).collect()
     assert len(rows) == 9 and all(r.score <= 0 and r.n_tokens >= 1 for r in rows)
