@@ -62,6 +62,23 @@ def test_plain_and_foreign_files_are_read_and_lost_attempts_are_not(spark, pages
     assert len(got) == 9 and {r.payload for r in got if r.record_type == "resource"} == {b"z"}
 
 
+def test_a_stream_of_many_records_in_one_member_is_read_whole(spark, tmp_path):
+    bodies = [b"a", b"", b"one\r\n\r\nWARC/1.0" * 9, b"x" * (3 << 20), b"\r\n", b"end"]
+    kinds = ["response", "revisit", "resource", "response", "response", "response"]
+    each = [
+        warc.record(dict.fromkeys(warc.RECORD.names) | {"record_type": k, "payload": b, "record_id": f"urn:{i}"})
+        for i, (k, b) in enumerate(zip(kinds, bodies, strict=True))
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(each)))
+    (tmp_path / "b.warc.gz").write_bytes(warc.gzip_member(b"".join(each[:3])) + gzip.compress(b"".join(each[3:])))
+    got = warc.read(spark, str(tmp_path)).collect()
+    want = {f"urn:{i}": None if k == "revisit" else b for i, (k, b) in enumerate(zip(kinds, bodies, strict=True))}
+    assert len(got) == 12 and all((r.payload if r.payload is None else bytes(r.payload)) == want[r.record_id] for r in got)
+    some = warc.read(spark, str(tmp_path), payloads=False, where="record_type = 'response'").collect()
+    assert sorted(r.record_id for r in some) == sorted(["urn:0", "urn:3", "urn:4", "urn:5"] * 2)
+    assert {r.payload for r in some} == {None} and {r.http_length for r in some} == {1, 3 << 20, 2, 3}
+
+
 # -- URLs --------------------------------------------------------------------
 
 

@@ -190,7 +190,10 @@ def records(where: fs.FileSystem, path: str, wanted, payloads: bool) -> Iterator
         zipped = f.read_at(2, 0) == b"\x1f\x8b"
         buffered = _Window(f, size)
         while at < size:
-            row, at = _member(buffered, at, wanted, payloads) if zipped else _plain(buffered, at, wanted, payloads)
+            if zipped:
+                at = yield from _member(buffered, at, wanted, payloads)
+                continue
+            row, at = _plain(buffered, at, wanted, payloads)
             if row is not None:
                 yield row
 
@@ -253,37 +256,64 @@ def _plain(f: _Window, at: int, wanted, payloads: bool):
 
 
 def _member(f: _Window, at: int, wanted, payloads: bool):
-    jump = None
+    """The wanted records of a gzip member, inflated a piece at a time; returns where the next member begins."""
+    jump = unpacked = None
     if f.get(at, 16)[3] & 4:
         extra = f.get(at + 12, 12)
         if extra[:2] == b"sl":
-            jump = at + struct.unpack("<I", extra[4:8])[0]
+            packed, unpacked = struct.unpack("<II", extra[4:12])
+            jump = at + packed
     inflate = zlib.decompressobj(31)
     out, pos, n = bytearray(), at, 4096
-    row, end, skip = None, -1, False
-    while not inflate.eof:
-        raw = f.get(pos, n)
+
+    def more() -> bool:
+        nonlocal pos, n
+        if inflate.eof:
+            return False
+        raw = inflate.unconsumed_tail
         if not raw:
-            raise ValueError(f"cut member at byte {at}")
-        pos += len(raw)
-        out += inflate.decompress(raw)
-        n = 64 << 10
-        if end < 0 and (end := out.find(b"\r\n\r\n")) >= 0:
-            row = _header(bytes(out[:end]))
-            skip = not wanted(row)
-        if skip:
-            if jump:
-                return None, jump
-            del out[:]
-        elif end >= 0 and not payloads and jump and len(out) >= end + 4 + min(row["content_length"] or 0, 4096):
-            break
-    if not inflate.eof:
-        after = jump
-    else:
-        after = pos - len(inflate.unused_data)
-    if skip or row is None:
-        return None, after
-    return _body(row, bytes(out[end + 4 : end + 4 + (row["content_length"] or 0)]), payloads), after
+            raw = f.get(pos, n)
+            if not raw:
+                raise ValueError(f"cut member at byte {at}")
+            pos += len(raw)
+            n = 64 << 10
+        out.extend(inflate.decompress(raw, 1 << 20))
+        return True
+
+    first = True
+    while True:
+        while True:
+            blank = 0
+            while blank < len(out) and out[blank] in b"\r\n":
+                blank += 1
+            del out[:blank]
+            if out or not more():
+                break
+        while (end := out.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        if end < 0:
+            if out.strip():
+                raise ValueError(f"no WARC header in the member at byte {at}")
+            return pos - len(inflate.unused_data)
+        row = _header(bytes(out[:end]))
+        keep, length = wanted(row), row["content_length"] or 0
+        # Only a member that is this record alone may be left by the length it gives.
+        leave = first and jump and unpacked == (end + 4 + length + 4) & 0xFFFFFFFF and not (keep and payloads)
+        first = False
+        del out[: end + 4]
+        if keep:
+            need = min(length, 4096) if leave else length
+            while len(out) < need and more():
+                pass
+            yield _body(row, bytes(out[:need]), payloads)
+        if leave:
+            return jump
+        while length > len(out):
+            length -= len(out)
+            out.clear()
+            if not more():
+                break
+        del out[:length]
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -454,7 +484,9 @@ def archive(pages: DataFrame, smallest: int = 0) -> DataFrame:
     """
     spark = pages.sparkSession
     path = write(page_records(pages, smallest), new_path(spark, "warc"))
-    kept = read(spark, path)
+    kept = read(spark, path, where="record_type = 'response'").unionAll(
+        read(spark, path, payloads=False, where="record_type = 'revisit'")
+    )
     response = F.col("record_type") == "response"
     return kept.select(
         page_id_of(F.col("record_id")).alias("page_id"),
