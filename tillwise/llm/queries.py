@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillwise.llm import (
     bpe,
     decontaminate,
+    jaccard,
     language_model,
     quality,
     secrets,
@@ -66,10 +67,15 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return unigram.token_counts(_table(spark, folder, "documents"))
 
 
+def op11_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_warc, op2_quality, op3_decontaminate, op4_language_model, op5_top_k,
         op6_urls, op7_simhash, op8_secrets, op9_bpe, op10_token_counts,
+        op11_ngram_jaccard,
     )
     return {f.__name__: f for f in found}
 
@@ -139,7 +145,34 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+OP11 = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+),
+s AS MATERIALIZED (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) END AS s
+    FROM w
+),
+e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+link AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+        AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+),
+reach AS (
+    SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(least.b, s.doc_id)) AS component_id,
+    coalesce(degree.n, 0)::BIGINT AS n_links
+FROM s LEFT JOIN least ON s.doc_id = least.a LEFT JOIN degree ON s.doc_id = degree.a
+"""
+
 
 def oracles() -> dict[str, str]:
     """SQL of the operators that SQL can express."""
-    return {"op1_warc": OP1, "op3_decontaminate": OP3, "op5_top_k": OP5}
+    return {"op1_warc": OP1, "op3_decontaminate": OP3, "op5_top_k": OP5, "op11_ngram_jaccard": OP11}
