@@ -5,9 +5,9 @@ have one common order, in which frequent ones come last, and two sets whose
 Jaccard similarity reaches the threshold share a shingle in their prefixes, a
 tenth of each set at 90 percent.  Documents with equal sets are one member;
 members with the same prefix and the same size are collapsed into one group.
-Groups that share a prefix shingle are joined and filtered by size and by the
-places of the shingle, and only what is left is expanded to members and
-verified on the whole sets.
+Groups that share a prefix shingle are joined and filtered by size, by the
+places of the shingle and by counts of their shingles in a few bins, and only
+what is left is expanded to members and verified on the whole sets.
 
 Whole sets are never shuffled for all documents: a set is made again from the
 text of its first document where some pair of groups needs it.  Members lie in
@@ -24,27 +24,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.arrow import bounded, give_back, pieces
 from tillwise.llm.components import components
 from tillwise.llm.joins import KEYS, checked, row_keys
-from tillwise.scratch import materialize
+from tillwise.llm.tallies import tally
+from tillwise.llm.words import BLANKS, letters, words
+from tillwise.scratch import materialize, temporary
 
 SHINGLE = 3
 PERCENT = 90
-#: Counters of the shingle frequencies, and how many travel as one row.
-COUNTERS, COUNTERS_A_ROW = 1 << 20, 1 << 12
-#: Partial counts that are added up in one step.
-ADDED_AT_ONCE = 1_000
+#: Counters of the shingle frequencies, and bins of the profile of a set.
+COUNTERS, BINS = 1 << 22, 64
 #: Groups that share a shingle and are paired in one task with all others that do.
 PAIRED_AT_ONCE = 2_000
 #: Bytes of the sets of a home; a set counts as at least the second number.
 HOME_BYTES, LEAST_BYTES = 2 << 20, 1 << 10
 
+TABLE = letters(BLANKS)
+
 # Odd multipliers and the steps of a 64-bit finaliser (fixed values).
 WORD_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 FINAL = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
@@ -52,12 +54,12 @@ FINAL = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a text; of all its words, where they are fewer than ``width``."""
-    words = text.lower().split()
-    if not words:
+    parts = [np.fromiter(map(xxhash.xxh64_intdigest, some), np.uint64, len(some)) for some in words(text, TABLE)]
+    if not parts:
         return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    taken = min(width, len(words))
-    out = np.full(len(words) - taken + 1, taken, dtype=np.uint64)
+    h = np.concatenate(parts)
+    taken = min(width, len(h))
+    out = np.full(len(h) - taken + 1, taken, dtype=np.uint64)
     for k in range(taken):
         out = out * np.uint64(WORD_FACTORS[k % 5] + 2 * (k // 5)) + h[k : k + len(out)]
     for factor in FINAL:
@@ -71,50 +73,25 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for whole in batches:
-        for batch in pieces(whole):
-            yield batch, [shingles(t or b"", width) for t in batch.column("_text").cast(pa.binary()).to_pylist()]
+def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
+    return [shingles(t or b"", width) for t in batch.column("_text").cast(pa.binary()).to_pylist()]
 
 
-def frequencies(texts: DataFrame, width: int = SHINGLE) -> np.ndarray:
-    """Number of documents by the leading bits of a shingle, over the column ``_text`` of all rows.
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    """The counter of a shingle, by its leading bits."""
+    return (hashes >> np.uint64(65 - COUNTERS.bit_length())).astype(np.int64)
 
-    Every task counts into ``COUNTERS`` counters; they are added up in two
-    steps, so that no task adds more than a thousand partial counts.
-    """
-    shift = np.uint64(64 - COUNTERS.bit_length() + 1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.int64)
-        for _, sets in _sets(batches, width):
-            if sets:
-                counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=COUNTERS)
-        task = TaskContext.get().partitionId() % ADDED_AT_ONCE
-        parts = counts.reshape(-1, COUNTERS_A_ROW)
-        used = np.flatnonzero(parts.any(axis=1))
-        if len(used):
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "part": pa.array(used, pa.int32()),
-                    "task": pa.array(np.full(len(used), task), pa.int32()),
-                    "counts": pa.array([parts[i].tobytes() for i in used], pa.binary()),
-                }
-            )
-        give_back()
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(COUNTERS_A_ROW, dtype=np.int64)
-        for counts in table.column("counts"):
-            total += np.frombuffer(counts.as_py(), dtype=np.int64)
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+def frequencies(texts: DataFrame, width: int = SHINGLE) -> np.ndarray:
+    """Number of rows by the counter of a shingle, over the column ``_text`` of all rows."""
+
+    def add(counts: np.ndarray, batch: pa.RecordBatch) -> None:
+        if sets := _sets(batch, width):
+            np.add.at(counts, counter_of(np.concatenate(sets)), 1)
 
-    partial = bounded(texts).mapInArrow(count, "part int, task int, counts binary")
-    once = partial.groupBy("part", "task").applyInArrow(add, "part int, counts binary")
-    out = np.zeros((COUNTERS // COUNTERS_A_ROW, COUNTERS_A_ROW), dtype=np.int64)
-    for row in once.groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # 256 rows
-        out[row["part"]] = np.frombuffer(row["counts"], dtype=np.int64)
-    return out.ravel()
+    # A task sends all its counters on, so short tasks are put together.
+    parts = texts.rdd.getNumPartitions()
+    return tally(texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, parts // 8)), COUNTERS, add)
 
 
 def classes(counts: np.ndarray) -> np.ndarray:
@@ -123,34 +100,41 @@ def classes(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= floor, 0, 2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
+def profile(hashes: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of ``BINS`` bins, 255 standing for that many or more."""
+    return np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def described(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, row keys, size ``n``, ``key`` (128 bits of the set) and ``prefix`` of every row of docs (doc_id, _text, keys)."""
+    """Every row of docs (doc_id, _text, row keys) with its set in short instead of the text.
+
+    ``n`` is the size, ``key`` the set in 128 bits, ``prefix`` its first
+    shingles in the common order, ``profile`` its counts by bin.
+    """
     order = docs.sparkSession.sparkContext.broadcast(classes(frequencies(docs.select("_text"), width)))
-    shift = np.uint64(64 - COUNTERS.bit_length() + 1)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = order.value
-        for batch, sets in _sets(batches, width):
-            prefixes = []
-            for s in sets:
-                if len(s):
-                    by = np.lexsort((s, rank[s >> shift]))[: prefix_length(len(s), percent)]
-                    prefixes.append(s[by].view(np.int64))
-                else:
-                    prefixes.append(np.empty(0, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(c) for c in ("doc_id", *KEYS)],
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.array(prefixes, pa.list_(pa.int64())),
-                ],
-                names=["doc_id", *KEYS, "n", "key", "prefix"],
-            )
+        for whole in batches:
+            for batch in pieces(whole):
+                sets = _sets(batch, width)
+                prefixes = [
+                    s[np.lexsort((s, order.value[counter_of(s)]))[: prefix_length(len(s), percent)]].view(np.int64) if len(s) else s.view(np.int64)
+                    for s in sets
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(c) for c in ("doc_id", *KEYS)],
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        pa.array(prefixes, pa.list_(pa.int64())),
+                        pa.array([profile(s) for s in sets], pa.binary()),
+                    ],
+                    names=["doc_id", *KEYS, "n", "key", "prefix", "profile"],
+                )
         give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, _k1 long, _k2 long, n long, key binary, prefix array<long>"
+    out = f"doc_id {kind}, _k1 long, _k2 long, n long, key binary, prefix array<long>, profile binary"
     return bounded(docs).mapInArrow(describe, out)
 
 
@@ -161,7 +145,10 @@ def group_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     the first shingle that both prefixes share, where nothing before it is
     common, so that the rest of the smaller tail bounds the intersection.
     """
-    groups = sets.groupBy("n", "prefix").agg(F.min("gid").alias("gid"))
+    groups = sets.groupBy("n", "prefix").agg(
+        F.min("gid").alias("gid"), F.when(F.count(F.lit(1)) == 1, F.min("profile")).alias("profile")
+    )
+    groups = materialize(groups, "groups")
     rows = materialize(groups.select("gid", "n", F.posexplode("prefix").alias("place", "token")), "prefixes")
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     fan = F.ceil(F.col("df") / PAIRED_AT_ONCE).cast("bigint")
@@ -183,10 +170,30 @@ def group_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb"))
         .distinct()
     )
+    different = _profiled(different, groups.select("gid", "n", "profile"), percent)
     own = sets.groupBy("gid").count().where("count > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
     return different.unionAll(own)
 
 
+def _profiled(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose profiles leave room for the intersection they need; a group of several sets has no profile."""
+    a = groups.select(F.col("gid").alias("ga"), F.col("n").alias("na"), F.col("profile").alias("fa"))
+    b = groups.select(F.col("gid").alias("gb"), F.col("n").alias("nb"), F.col("profile").alias("fb"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.ones(batch.num_rows, dtype=bool)
+            known = pc.and_(batch.column("fa").is_valid(), batch.column("fb").is_valid()).to_numpy(zero_copy_only=False)
+            some = batch.filter(pa.array(known))
+            fa, fb = (np.frombuffer(b"".join(some.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("fa", "fb"))
+            least = np.minimum(fa, fb)
+            need = percent * (some.column("na").to_numpy() + some.column("nb").to_numpy())
+            good[known] = (least == 255).any(axis=1) | ((100 + percent) * least.sum(axis=1, dtype=np.int64) >= need)
+            yield batch.select(["ga", "gb"]).filter(pa.array(good))
+
+    return pairs.join(a, "ga").join(b, "gb").mapInArrow(keep, "ga long, gb long")
+
+
 def in_homes(sets: DataFrame) -> DataFrame:
     """``sets`` (key, n, first, ...) with a ``home``: those of one first shingle together, if they are not too many."""
     bytes_ = F.greatest(F.lit(LEAST_BYTES), F.col("n") * 8)
@@ -274,12 +281,13 @@ def with_tokens(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Members of groups (gid, home, key, n, copies, row keys) with their whole sets, made from the texts again."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, width):
-            kept = [batch.column(c) for c in ("gid", "home", "key", "n", "copies")]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["gid", "home", "key", "n", "copies", "tokens"],
-            )
+        for whole in batches:
+            for batch in pieces(whole):
+                kept = [batch.column(c) for c in ("gid", "home", "key", "n", "copies")]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array([s.tobytes() for s in _sets(batch, width)], pa.binary())],
+                    names=["gid", "home", "key", "n", "copies", "tokens"],
+                )
         give_back()
 
     rows = docs.join(wanted, KEYS).select("_text", "gid", "home", "key", "n", "copies")
@@ -333,12 +341,14 @@ def similar(
         .agg(
             F.count(F.lit(1)).alias("copies"),
             F.min("doc_id").alias("least"),
+            F.min("profile").alias("profile"),
             F.min(F.struct(*KEYS)).alias("at"),
         )
-        .select("key", "n", "prefix", "copies", "least", "at.*", F.xxhash64("n", "prefix").alias("gid")),
+        .select("key", "n", "prefix", "profile", "copies", "least", "at.*", F.xxhash64("n", "prefix").alias("gid")),
         "sets",
     )
-    linked = materialize(links(rows, sets, width, percent), "linked")
+    with temporary(docs.sparkSession) as keep:
+        linked = keep(links(rows, sets, width, percent), "linked")
     roots = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
     roots = materialize(roots.withColumnRenamed("node", "key"), "roots")
     degree = linked.groupBy("key").agg(F.sum("links").alias("links"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillwise.llm import (
     bpe,
@@ -12,6 +13,8 @@ from tillwise.llm import (
     jaccard,
     language_model,
     quality,
+    resample,
+    rtree,
     secrets,
     simhash,
     unigram,
@@ -71,11 +74,20 @@ def op11_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar(_table(spark, folder, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.mine(_table(spark, folder, "embeddings").withColumn("label", label))
+
+
+def op13_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_warc, op2_quality, op3_decontaminate, op4_language_model, op5_top_k,
         op6_urls, op7_simhash, op8_secrets, op9_bpe, op10_token_counts,
-        op11_ngram_jaccard,
+        op11_ngram_jaccard, op12_hard_negatives, op13_resample,
     )
     return {f.__name__: f for f in found}
 
@@ -172,7 +184,70 @@ SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(least.b,
 FROM s LEFT JOIN least ON s.doc_id = least.a LEFT JOIN degree ON s.doc_id = degree.a
 """
 
+OP12 = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS MATERIALIZED (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+        list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+),
+p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER w::INT AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+    AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+OP13 = """
+WITH texts AS (SELECT doc_id, text, true AS doc FROM documents UNION ALL SELECT NULL, text, false FROM benchmark),
+w AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, doc, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+    FROM texts
+),
+f AS MATERIALIZED (
+    SELECT r, doc, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])))) AS f FROM w
+),
+-- CRC-32 bit by bit, the lowest bit of a byte first.
+crc AS MATERIALIZED (
+    SELECT f, xor(4294967295, list_reduce(
+        list_transform(range(8 * octet_length(encode(f))), lambda i: get_bit(encode(f)::BIT, (8 * (i // 8) + 7 - i % 8)::INT)::BIGINT),
+        lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295)) % 10000 AS b
+    FROM (SELECT DISTINCT f FROM f)
+),
+counted AS MATERIALIZED (SELECT r, doc, b, count(*) AS n FROM f JOIN crc USING (f) GROUP BY r, doc, b),
+bucket AS (
+    SELECT b, coalesce(sum(n) FILTER (WHERE doc), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE NOT doc), 0)::DOUBLE AS t
+    FROM counted GROUP BY b
+),
+total AS (SELECT sum(s) AS s, sum(t) AS t FROM bucket),
+gain AS (
+    SELECT b, floor(1000 * ln((bucket.t + 1) * (total.s + 10000) / ((bucket.s + 1) * (total.t + 10000))))::BIGINT AS gain
+    FROM bucket, total
+),
+weight AS (SELECT r, sum(n * gain)::DOUBLE AS g, sum(n) AS n FROM counted JOIN gain USING (b) WHERE doc GROUP BY r),
+d AS (
+    SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(g / n), 0)::BIGINT AS weight,
+        ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h
+    FROM w LEFT JOIN weight USING (r) WHERE doc
+),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS place,
+    count(*) OVER (PARTITION BY words >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 25 * n // 100 THEN place END AS rank FROM placed
+"""
+
 
 def oracles() -> dict[str, str]:
     """SQL of the operators that SQL can express."""
-    return {"op1_warc": OP1, "op3_decontaminate": OP3, "op5_top_k": OP5, "op11_ngram_jaccard": OP11}
+    return {"op1_warc": OP1, "op3_decontaminate": OP3, "op5_top_k": OP5, "op11_ngram_jaccard": OP11, "op12_hard_negatives": OP12, "op13_resample": OP13}
