@@ -181,9 +181,10 @@ def numpy_step(rows, p, q, bu, bi, g, s):
 
 
 def arrays(model, rank):
-    frame = model.select("side", "id", *mf.factor_names(rank), "bias").toPandas().sort_values(["side", "id"])
+    frame = model.select("side", "id", "factors", "bias").toPandas().sort_values(["side", "id"])
     split = [frame[frame.side == x] for x in "ui"]
-    return [s[mf.factor_names(rank)].to_numpy() for s in split] + [s.bias.to_numpy() for s in split]
+    assert {len(f) for f in frame.factors} == {rank}
+    return [np.array(s.factors.tolist()) for s in split] + [s.bias.to_numpy() for s in split]
 
 
 def test_two_steps_equal_numpy_and_the_loss_falls(spark):
@@ -260,8 +261,8 @@ def test_pairwise_ranking_loss_falls(spark):
 def test_retrieval_beats_chance_on_two_blocks(spark):
     rows = [(u, i, 1.0) for u in range(20) for i in range(20) if (u % 2) == (i % 2) and (u + i) % 3]
     df = materialize(spark.createDataFrame(rows, f"{U} int, {I} int, n double"))
-    users, items, _ = learners.retrieval_factors(df, U, I, "n", rank=4)
-    top = scoring.top_n(materialize(users), materialize(items), 5)
+    users, items = learners.retrieval_factors(df, U, I, "n", rank=4)
+    top = scoring.top_n(users, items, 5)
     same = top.where(F.col(U) % 2 == F.col(I) % 2).count() / top.count()
     assert same > 0.9
 

@@ -52,10 +52,14 @@ def global_rank(
 
 
 def hash_rank(
-    df: DataFrame, hex_digest: Column, *ties: str, name: str = "rank", digits: int = 4
+    df: DataFrame, hex_digest: Column, *ties: str, name: str = "rank", digits: int = 4,
+    within: str | None = None,
 ) -> DataFrame:
     """Add the 0-based place of each row in the order of a hex digest.
 
+    With ``within`` the rows of each value of that column (a few values) are
+    placed for themselves.
+
     Digests are uniform, so their leading digits cut the table into even
     buckets: count the buckets (at most 16**digits, 65,536), add up the counts
     before each, and number the rows inside.  Rows must be distinct in what
@@ -66,13 +70,14 @@ def hash_rank(
     keyed = df.withColumn("_digest", F.unhex(hex_digest)).withColumn(
         "_bucket", F.substring(hex_digest, 1, digits)
     )
-    sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    groups = ["_bucket"] if within is None else [within, "_bucket"]
+    sizes = keyed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*groups[:-1]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+        *groups, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy("_bucket").orderBy("_digest", *ties)
-    return keyed.join(F.broadcast(offsets), "_bucket").select(
+    inside = Window.partitionBy(*groups).orderBy("_digest", *ties)
+    return keyed.join(F.broadcast(offsets), groups).select(
         *df.columns,
         (F.col("_offset") + F.row_number().over(inside) - 1).cast("bigint").alias(name),
     )

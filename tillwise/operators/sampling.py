@@ -7,7 +7,6 @@ exactly in another engine.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,17 +22,33 @@ from tillwise.scratch import discard, materialize, temporary
 MAX_ROUNDS = 50
 
 
+def _dealt(df: DataFrame, user: str, item: str, salt: str, position: str) -> DataFrame:
+    """(position, user, item), each row with the value of one column, at its place in a shuffle of that column.
+
+    Both columns are ranked together: a row for each side, and one rank within
+    the sides.
+    """
+    sides = F.array(*[
+        F.struct(F.lit(n).alias("_side"), digest(f"{salt}-{tag}", user, item).alias("_md5"))
+        for n, tag in enumerate(("user", "item"))
+    ])
+    tagged = df.select(user, item, F.inline(sides))
+    placed = hash_rank(tagged, F.col("_md5"), user, item, name=position, within="_side")
+    return placed.select(
+        position, *[F.when(F.col("_side") == n, F.col(c)).alias(c) for n, c in enumerate((user, item))]
+    )
+
+
 def shuffled_pairs(
     df: DataFrame, user: str, item: str, salt: str, position: str = "position"
 ) -> DataFrame:
     """(position, user, item) with both columns shuffled independently.
 
     Each column keeps its values and their counts; only the pairing is new.
-    The join key is a rank, unique on both sides.  ``df`` holds distinct pairs.
+    The two values of a place are put together by one grouping.  ``df`` holds
+    distinct pairs.
     """
-    users = hash_rank(df.select(user, item), digest(f"{salt}-user", user, item), user, item, name=position)
-    items = hash_rank(df.select(user, item), digest(f"{salt}-item", user, item), user, item, name=position)
-    return users.select(position, user).join(items.select(position, item), position)
+    return _dealt(df, user, item, salt, position).groupBy(position).agg(F.max(user).alias(user), F.max(item).alias(item))
 
 
 def synthetic_rows(
@@ -44,8 +59,10 @@ def synthetic_rows(
     All other columns stay on their row; ``position`` is the row's place.
     """
     rows = global_rank(df, *order, name="position").drop(user, item)
-    pairs = shuffled_pairs(df, user, item, salt)
-    return rows.join(pairs, "position").select("position", *df.columns)
+    others = [c for c in rows.columns if c != "position"]
+    every = rows.unionByName(_dealt(df, user, item, salt, "position"), allowMissingColumns=True)
+    together = every.groupBy("position").agg(*[F.max(c).alias(c) for c in (user, item, *others)])
+    return together.select("position", *df.columns)
 
 
 def _check_room(df: DataFrame, user: str, item: str, size: int) -> None:
@@ -93,7 +110,7 @@ def grow(
             raise ValueError(f"no new pair in round {step}; {n} of {size} rows made")
     if n < size:
         raise ValueError(f"{n} of {size} rows after {max_rounds} rounds")
-    return first_rows(_relabel(grown, features, user, item), size, *order)
+    return _relabel(materialize(first_rows(grown, size, *order), "grown"), features, user, item)
 
 
 def _relabel(grown: DataFrame, features: DataFrame, user: str, item: str) -> DataFrame:
@@ -171,8 +188,9 @@ def ratio_negatives(
 
     Rows are drawn with replacement by a seeded index, then the drawn items
     are shuffled among the draws.  A drawn pair may repeat, and may be a
-    positive unless ``exclude_positives`` is set: then draws that hit one get
-    another item until none does, at an error if some user has every item.
+    positive unless ``exclude_positives`` is set: then draws that hit one take
+    an item that the user does not have, in one pass (see ``_from_unseen``);
+    it is an error if such a user has every item.
     ``draw`` numbers the draws and is -1 for positives.
     """
     numbered = materialize(
@@ -188,35 +206,61 @@ def ratio_negatives(
     ).select(F.col("place").alias("draw"), item)
     zeros = drawn.select("draw", user).join(items, "draw")
     if exclude_positives:
-        zeros = _redrawn(zeros, materialize(pairs.select(user, item).distinct(), "known"), numbered, total, user, item, salt)
+        known = materialize(pairs.select(user, item).distinct(), "known")
+        zeros = materialize(zeros, "zeros")
+        again = materialize(zeros.join(known, [user, item], "left_semi"), "again")
+        drawn_again = _from_unseen(again, pairs, user, item, salt)
+        zeros = zeros.join(known, [user, item], "left_anti").select("draw", user, item).unionByName(drawn_again)
     return (
         pairs.select(user, item, F.lit(1.0).alias("label"), F.lit(-1).cast("bigint").alias("draw"))
         .unionByName(zeros.select(user, item, F.lit(0.0).alias("label"), "draw"))
     )
 
 
-def _redrawn(
-    zeros: DataFrame, known: DataFrame, numbered: DataFrame, total: Column, user: str, item: str, salt: str
-) -> DataFrame:
-    """Draws without known pairs: those that hit one draw another item, round by round."""
-    n_items = known.select(item).distinct().count()
-    if not known.groupBy(user).count().where(F.col("count") >= n_items).isEmpty():
+def _from_unseen(draws: DataFrame, pairs: DataFrame, user: str, item: str, salt: str) -> DataFrame:
+    """For each (draw, user) an item that the user does not have, as likely as it is frequent in ``pairs``.
+
+    Rows of the pairs lie on a line in the order of their items, so that an
+    item takes up as much of it as it has rows.  A user's unseen items are
+    ranges of the line; a seeded number below their total length is a place in
+    one of them, and the row at that place gives the item.  Ranges and draws
+    of a user meet in steps of the mean length of its ranges, which makes two
+    or three meetings a range however many ranges and draws a user has.
+    """
+    line = materialize(global_rank(pairs.select(user, item), item, user, name="at"), "line")
+    weights = line.groupBy(item).agg(F.min("at").alias("from"), F.count(F.lit(1)).alias("weight"))
+    items = materialize(global_rank(weights, item, name="code"), "items")
+    seen = line.select(user, item).distinct()
+    coded = spread_join(seen, items.select(item, "code"), item, [user], hot_keys(seen, item))
+    ranges = unseen_ranges(materialize(coded.select(user, "code"), "coded"), user, "code", items.count())
+    first = items.select(F.col("code").alias("first_code"), "from")
+    last = items.select(F.col("code").alias("last_code"), (F.col("from") + F.col("weight")).alias("to"))
+    lengths = ranges.join(first, "first_code").join(last, "last_code").select(
+        user, "first_code", "from", (F.col("to") - F.col("from")).alias("length")
+    )
+    placed = materialize(global_rank(lengths, user, "first_code", name="before", weight="length"), "ranges")
+    totals = placed.groupBy(user).agg(
+        F.min("before").alias("_start"), F.sum("length").alias("_total"),
+        F.ceil(F.sum("length") / F.count(F.lit(1))).alias("_step"),
+    )
+    totals = materialize(totals, "totals")
+    asked = spread_join(draws.select("draw", user), totals, user, ["draw"], hot_keys(draws, user), "left")
+    number = draw(digest(f"{salt}-unseen", "draw"))
+    asked = materialize(asked.withColumn("_number", F.pmod(number, F.col("_total"))), "asked")
+    if not asked.where(F.col("_total").isNull()).isEmpty():
         raise ValueError("a user has every item, no negative exists")
-    good: list[DataFrame] = []
-    left = materialize(zeros, "zeros")
-    again = 0
-    while True:
-        good.append(left.join(known, [user, item], "left_anti"))
-        left = left.join(known, [user, item], "left_semi").select("draw", user)
-        again += 1
-        left = materialize(
-            left.withColumn("row", F.pmod(draw(digest(f"{salt}-again-{again}", "draw")), total))
-            .join(numbered.select("row", item), "row")
-            .drop("row"),
-            "again",
-        )
-        if left.isEmpty():
-            return reduce(DataFrame.unionByName, [g.select("draw", user, item) for g in good])
+    low = F.col("before") - F.col("_start")
+    pieces = placed.join(totals, user).select(
+        user, low.alias("_low"), "length", "from",
+        F.explode(F.sequence(F.floor(low / F.col("_step")), F.floor((low + F.col("length") - 1) / F.col("_step")))).alias("_piece"),
+    )
+    places = (
+        asked.withColumn("_piece", F.floor(F.col("_number") / F.col("_step")))
+        .join(pieces, [user, "_piece"])
+        .where((F.col("_number") >= F.col("_low")) & (F.col("_number") < F.col("_low") + F.col("length")))
+        .select("draw", user, (F.col("from") + F.col("_number") - F.col("_low")).alias("at"))
+    )
+    return places.join(line.select("at", item), "at").select("draw", user, item)
 
 
 def unseen_ranges(
@@ -282,11 +326,12 @@ def binary_matrix(
 ) -> DataFrame:
     """One row per user, one 0/1 column per item, for small catalogues.
 
-    A catalogue of more than ``most`` items does not fit a row; keep it long.
+    A catalogue of more than ``most`` items does not fit a row: use
+    :func:`sparse_rows`, which holds any.
     """
     found = [r[0] for r in df.select(item).where(F.col(item).isNotNull()).distinct().limit(most + 1).collect()]
     if len(found) > most:
-        raise ValueError(f"more than {most} items; use the distinct pairs instead")
+        raise ValueError(f"more than {most} items; use sparse_rows instead")
     values = sorted(found)
     return (
         df.groupBy(user)
@@ -294,3 +339,16 @@ def binary_matrix(
         .agg(F.max(F.lit(1)))
         .select(user, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(f"{prefix}{v}") for v in values])
     )
+
+
+def sparse_rows(df: DataFrame, user: str, code: str, block: int = 65_536) -> DataFrame:
+    """The rows of the 0/1 matrix in sparse form: (user, block, codes), for any catalogue.
+
+    ``codes`` are the columns of a user that hold a one, in order, as integer
+    codes.  Block ``b`` holds the codes from ``b * block`` on, so that no list
+    is longer than a block, however many items a user has.
+    """
+    cut = df.where(F.col(user).isNotNull() & F.col(code).isNotNull()).select(
+        user, F.floor(F.col(code) / block).cast("bigint").alias("block"), F.col(code).cast("bigint").alias("code")
+    )
+    return cut.groupBy(user, "block").agg(F.array_sort(F.collect_set("code")).alias("codes"))

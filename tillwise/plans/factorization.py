@@ -1,10 +1,13 @@
 """Matrix factorisation and pairwise ranking, fitted by full-batch steps.
 
-The model is one long table (side, id, f0..fk, bias) with side ``u`` for users
-and ``i`` for items.  A step is one Spark job: the ratings meet both sides,
-every row sends its gradient to its user and its item, the gradients are
-averaged with map-side combination, and the new model is written.  All rows
-of a step see the same model, so the result does not depend on row order.
+The model is one long table (side, id, factors, bias) with side ``u`` for users
+and ``i`` for items and an array of factors.  A step is one Spark job: the
+ratings meet both sides, every row sends its gradient to its user and its item,
+the gradients are averaged with map-side combination, and the new model is
+written.  A gradient travels in pieces of at most ``PIECE`` numbers, each an
+ordinary aggregate column, so that the plan of a step does not grow with the
+rank.  All rows of a step see the same model, so the result does not depend on
+row order.
 """
 
 from __future__ import annotations
@@ -14,15 +17,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillwise.functions.hashing import digest, unit
-from tillwise.functions.scores import biased_score, dot, log_loss, sigmoid, triplet_loss
+from tillwise.functions.hashing import unit
+from tillwise.functions.scores import array_dot, log_loss, sigmoid, triplet_loss
 from tillwise.operators.skew import hot_keys, spread_join
 from tillwise.scratch import discard, materialize
 
 
-def factor_names(rank: int) -> list[str]:
-    return [f"f{k}" for k in range(rank)]
+#: Numbers of a gradient that are averaged as columns of one row.
+PIECE = 32
 
 
 def start_model(
@@ -30,56 +34,62 @@ def start_model(
 ) -> DataFrame:
     """Seeded start factors in [-scale/2, scale/2), biases zero.
 
-    ``users`` and ``items`` hold one distinct id per row in their first column.
+    ``users`` and ``items`` hold one distinct id per row in their first column,
+    of one type.
     """
+    places = F.sequence(F.lit(0), F.lit(rank - 1))
 
     def side(ids: DataFrame, tag: str) -> DataFrame:
         key = F.col(ids.columns[0])
+        kind = ids.schema[0].dataType
         return ids.select(
             F.lit(tag).alias("side"),
-            key.cast("bigint").alias("id"),
-            *[
-                ((unit(digest(f"{salt}-{tag}{k}", key)) - 0.5) * F.lit(scale)).alias(f)
-                for k, f in enumerate(factor_names(rank))
-            ],
+            (key if isinstance(kind, T.StringType) else key.cast("bigint")).alias("id"),
+            F.transform(
+                places,
+                lambda k: (unit(F.md5(F.concat(F.lit(f"{salt}-{tag}"), k.cast("string"), F.lit(":"), key.cast("string")))) - 0.5) * F.lit(scale),
+            ).alias("factors"),
             F.lit(0.0).alias("bias"),
         )
 
     return side(users, "u").unionByName(side(items, "i"))
 
 
-def side_of(model: DataFrame, side: str, key: str, prefix: str, rank: int) -> DataFrame:
-    """One side of the model as (key, prefix0.., prefix_bias)."""
+def side_of(model: DataFrame, side: str, key: str, prefix: str) -> DataFrame:
+    """One side of the model as (key, prefix, prefix_bias)."""
     return model.where(F.col("side") == side).select(
-        F.col("id").alias(key),
-        *[F.col(f).alias(f"{prefix}{k}") for k, f in enumerate(factor_names(rank))],
-        F.col("bias").alias(f"{prefix}_bias"),
+        F.col("id").alias(key), F.col("factors").alias(prefix), F.col("bias").alias(f"{prefix}_bias")
     )
 
 
-def as_arrays(model: DataFrame, side: str, key: str, rank: int) -> DataFrame:
+def as_arrays(model: DataFrame, side: str, key: str) -> DataFrame:
     """One side of the model as (key, factors, bias), the form scoring reads."""
-    return model.where(F.col("side") == side).select(
-        F.col("id").alias(key), F.array(*factor_names(rank)).alias("factors"), "bias"
-    )
+    return model.where(F.col("side") == side).select(F.col("id").alias(key), "factors", "bias")
+
+
+def wide(model: DataFrame, rank: int) -> DataFrame:
+    """The model with one column per factor: (side, id, f0.., bias)."""
+    return model.select("side", "id", *[F.get("factors", F.lit(k)).alias(f"f{k}") for k in range(rank)], "bias")
+
+
+def _score(p: str, q: str, offset: float) -> Column:
+    """Biased score of two sides; a side that the model does not know adds nothing."""
+    zero = F.lit(0.0)
+    both = F.coalesce(array_dot(F.col(p), F.col(q)), zero)
+    return F.lit(offset) + F.coalesce(F.col(f"{p}_bias"), zero) + F.coalesce(F.col(f"{q}_bias"), zero) + both
 
 
 def predict(
-    rows: DataFrame, model: DataFrame, user: str, item: str, rank: int, offset: float = 0.0,
-    name: str = "score",
+    rows: DataFrame, model: DataFrame, user: str, item: str, offset: float = 0.0, name: str = "score",
 ) -> DataFrame:
-    """Add the biased score of each (user, item) row; ids outside the model drop out."""
-    scored = spread_join(
-        rows, side_of(model, "u", user, "_p", rank), user, [item], hot_keys(rows, user)
-    )
-    scored = spread_join(
-        scored, side_of(model, "i", item, "_q", rank), item, [user], hot_keys(rows, item)
-    )
-    score = biased_score(
-        [F.col(f"_p{k}") for k in range(rank)], [F.col(f"_q{k}") for k in range(rank)],
-        F.col("_p_bias"), F.col("_q_bias"), F.lit(offset),
-    )
-    return scored.select(*rows.columns, score.alias(name))
+    """Add the biased score of each (user, item) row.
+
+    No row is lost: with an id outside the model the score is the offset and
+    the bias of the other side, if that is known.
+    """
+    scored = spread_join(rows, side_of(model, "u", user, "_p"), user, [item], hot_keys(rows, user), "left")
+    scored = spread_join(scored, side_of(model, "i", item, "_q"), item, [user], hot_keys(rows, item), "left")
+    return scored.select(*rows.columns, _score("_p", "_q", offset).alias(name))
 
 
 @dataclass(frozen=True)
@@ -98,36 +108,52 @@ class Settings:
     link: str = "identity"
 
 
-def _message(side: str, key: str, gradient: list[Column], bias: Column, *extra: Column) -> Column:
-    return F.struct(
-        F.lit(side).alias("side"),
-        F.col(key).cast("bigint").alias("id"),
-        *[g.alias(f"g{k}") for k, g in enumerate(gradient)],
-        bias.alias("g_bias"),
-        *extra,
-    )
+def _pieces(rank: int) -> list[int]:
+    return list(range(0, rank, PIECE))
+
+
+def _message(side: str, key: str, gradient: Column, bias: Column, rank: int, *extra: Column) -> Column:
+    """An array of rows (side, id, piece, g0.., g_bias, extra); the bias goes with the first piece."""
+    width = min(rank, PIECE)
+
+    def piece(start: int) -> Column:
+        first = start == 0
+        return F.struct(
+            F.lit(side).alias("side"),
+            F.col(key).alias("id"),
+            F.lit(start).alias("piece"),
+            *[F.get(gradient, F.lit(start + k)).alias(f"g{k}") for k in range(width)],
+            (bias if first else F.lit(None).cast("double")).alias("g_bias"),
+            *[(e if first else F.lit(None).cast("double")).alias(f"loss{n}") for n, e in enumerate(extra)],
+        )
+
+    return F.array(*[piece(start) for start in _pieces(rank)])
 
 
 def _apply(model: DataFrame, messages: DataFrame, s: Settings, extra: list[Column]) -> DataFrame:
     """Average the messages per (side, id) and move the model."""
-    moved = messages.groupBy("side", "id").agg(
-        *[F.avg(f"g{k}").alias(f"g{k}") for k in range(s.rank)],
-        F.avg("g_bias").alias("g_bias"),
-        *extra,
+    width = min(s.rank, PIECE)
+    summed = messages.groupBy("side", "id", "piece").agg(
+        F.array(*[F.avg(f"g{k}") for k in range(width)]).alias("g"), F.avg("g_bias").alias("g_bias"), *extra
+    )
+    names = [c for c in summed.columns if c.startswith("_")]
+    # A few pieces an id; the last one is filled up with nulls.
+    each = F.array_sort(F.collect_list(F.struct("piece", "g")))
+    moved = summed.groupBy("side", "id").agg(
+        F.slice(F.flatten(F.transform(each, lambda x: x["g"])), 1, s.rank).alias("g"),
+        F.max("g_bias").alias("g_bias"),
+        *[F.max(c).alias(c) for c in names],
     )
     joined = model.join(moved, ["side", "id"], "left")
 
-    def step(now: str, gradient: str, penalty: float) -> Column:
+    def step(now: Column, gradient: Column, penalty: float) -> Column:
         # Ids without training rows stay where they are.
-        change = F.col(gradient) - F.lit(penalty) * F.col(now)
-        return F.coalesce(F.col(now) + F.lit(s.rate) * change, F.col(now))
+        return F.coalesce(now + F.lit(s.rate) * (gradient - F.lit(penalty) * now), now)
 
-    new_bias = step("bias", "g_bias", s.bias_penalty) if s.learn_bias else F.col("bias")
+    new_bias = step(F.col("bias"), F.col("g_bias"), s.bias_penalty) if s.learn_bias else F.col("bias")
+    new = F.zip_with("factors", "g", lambda now, g: step(now, g, s.penalty))
     return joined.select(
-        "side", "id",
-        *[step(f, f"g{k}", s.penalty).alias(f) for k, f in enumerate(factor_names(s.rank))],
-        new_bias.alias("bias"),
-        *[F.col(name) for name in moved.columns if name.startswith("_")],
+        "side", "id", F.coalesce(new, F.col("factors")).alias("factors"), new_bias.alias("bias"), *names
     )
 
 
@@ -146,8 +172,8 @@ class Factorization:
         self.settings = settings
         held = F.lit(False) if held_out is None else held_out
         self.rows = ratings.select(
-            F.col(user).cast("bigint").alias("user"),
-            F.col(item).cast("bigint").alias("item"),
+            F.col(user).alias("user"),
+            F.col(item).alias("item"),
             F.col(value).cast("double").alias("value"),
             held.alias("held_out"),
         )
@@ -164,15 +190,9 @@ class Factorization:
     def scored(self, model: DataFrame) -> DataFrame:
         """The rows with both factor vectors, the prediction, error and loss."""
         s = self.settings
-        rows = spread_join(
-            self.rows, side_of(model, "u", "user", "p", s.rank), "user", ["item"], self.hot_users
-        )
-        rows = spread_join(
-            rows, side_of(model, "i", "item", "q", s.rank), "item", ["user"], self.hot_items
-        )
-        p = [F.col(f"p{k}") for k in range(s.rank)]
-        q = [F.col(f"q{k}") for k in range(s.rank)]
-        raw = biased_score(p, q, F.col("p_bias"), F.col("q_bias"), F.lit(self.offset))
+        rows = spread_join(self.rows, side_of(model, "u", "user", "p"), "user", ["item"], self.hot_users)
+        rows = spread_join(rows, side_of(model, "i", "item", "q"), "item", ["user"], self.hot_items)
+        raw = _score("p", "q", self.offset)
         predicted = sigmoid(raw) if s.link == "logit" else raw
         rows = rows.withColumn("predicted", predicted).withColumn(
             "error", F.col("value") - F.col("predicted")
@@ -189,25 +209,26 @@ class Factorization:
         learned = ~F.col("held_out")
         error = F.when(learned, F.col("error"))
         rows = self.scored(model)
-        to_user = [error * F.col(f"q{k}") for k in range(s.rank)]
-        to_item = [error * F.col(f"p{k}") for k in range(s.rank)]
+        to_user = F.transform("q", lambda x: error * x)
+        to_item = F.transform("p", lambda x: error * x)
+        train = F.when(learned, F.col("loss"))
+        test = F.when(~learned, F.col("loss"))
         none = F.lit(None).cast("double")
+        # Gradients are worked out once a row, then cut into pieces.
+        rows = rows.select("user", "item", error.alias("_error"), to_user.alias("_gu"), to_item.alias("_gi"), train.alias("_train"), test.alias("_test"))
         messages = rows.select(
             F.inline(
-                F.array(
-                    _message("u", "user", to_user, error,
-                             F.when(learned, F.col("loss")).alias("train_loss"),
-                             F.when(~learned, F.col("loss")).alias("test_loss")),
-                    _message("i", "item", to_item, error,
-                             none.alias("train_loss"), none.alias("test_loss")),
+                F.concat(
+                    _message("u", "user", F.col("_gu"), F.col("_error"), s.rank, F.col("_train"), F.col("_test")),
+                    _message("i", "item", F.col("_gi"), F.col("_error"), s.rank, none, none),
                 )
             )
         )
         losses = [
-            f(c).alias(f"_{tag}_{c}")
-            for c in ("train_loss", "test_loss") for tag, f in (("sum", F.sum), ("n", F.count))
+            f(c).alias(f"_{tag}_{name}")
+            for c, name in (("loss0", "train_loss"), ("loss1", "test_loss")) for tag, f in (("sum", F.sum), ("n", F.count))
         ]
-        return _apply(model.select("side", "id", *factor_names(s.rank), "bias"), messages, s, losses)
+        return _apply(model.select("side", "id", "factors", "bias"), messages, s, losses)
 
     def epochs(self, model: DataFrame, n: int) -> Iterator[tuple[int, DataFrame, float, float]]:
         """Run ``n`` steps; yields (epoch, model, train loss, test loss) after each.
@@ -252,8 +273,7 @@ class PairwiseRanking:
         self.hot: dict[str, DataFrame | None] | None = None
 
     def scored(self, model: DataFrame, triplets: DataFrame) -> DataFrame:
-        s = self.settings
-        base = triplets.select(F.col(self.user).cast("bigint").alias("user"), "positive", "negative")
+        base = triplets.select(F.col(self.user).alias("user"), "positive", "negative")
         rows = base
         if self.hot is None:
             self.hot = {key: hot_keys(base, key) for key in ("user", "positive", "negative")}
@@ -261,12 +281,11 @@ class PairwiseRanking:
             ("user", "u", "p", "positive"), ("positive", "i", "q", "user"), ("negative", "i", "r", "user"),
         ):
             rows = spread_join(
-                rows, side_of(model, tag, key, prefix, s.rank), key, [other], self.hot[key]
+                rows, side_of(model, tag, key, prefix), key, [other], self.hot[key]
             )
-        p, q, r = ([F.col(f"{x}{k}") for k in range(s.rank)] for x in "pqr")
         return (
-            rows.withColumn("above", dot(p, q) + F.col("q_bias"))
-            .withColumn("under", dot(p, r) + F.col("r_bias"))
+            rows.withColumn("above", array_dot(F.col("p"), F.col("q")) + F.col("q_bias"))
+            .withColumn("under", array_dot(F.col("p"), F.col("r")) + F.col("r_bias"))
             .withColumn("loss", triplet_loss(F.col("above"), F.col("under")))
         )
 
@@ -278,20 +297,24 @@ class PairwiseRanking:
         s = self.settings
         rows = self.scored(model, triplets)
         pull = F.col("loss") * (F.lit(1.0) - F.col("loss"))
-        p, q, r = ([F.col(f"{x}{k}") for k in range(s.rank)] for x in "pqr")
         none = F.lit(None).cast("double")
+        rows = rows.select(
+            "user", "positive", "negative", "loss", pull.alias("_pull"), (-pull).alias("_push"),
+            F.zip_with("q", "r", lambda a, b: pull * (a - b)).alias("_gu"),
+            F.transform("p", lambda a: pull * a).alias("_gp"),
+            F.transform("p", lambda a: -pull * a).alias("_gn"),
+        )
         messages = rows.select(
             F.inline(
-                F.array(
-                    _message("u", "user", [pull * (a - b) for a, b in zip(q, r, strict=True)],
-                             F.lit(0.0), F.col("loss").alias("train_loss")),
-                    _message("i", "positive", [pull * a for a in p], pull, none.alias("train_loss")),
-                    _message("i", "negative", [-pull * a for a in p], -pull, none.alias("train_loss")),
+                F.concat(
+                    _message("u", "user", F.col("_gu"), F.lit(0.0), s.rank, F.col("loss")),
+                    _message("i", "positive", F.col("_gp"), F.col("_pull"), s.rank, none),
+                    _message("i", "negative", F.col("_gn"), F.col("_push"), s.rank, none),
                 )
             )
         )
-        losses = [F.sum("train_loss").alias("_sum_train_loss"), F.count("train_loss").alias("_n_train_loss")]
-        return _apply(model.select("side", "id", *factor_names(s.rank), "bias"), messages, s, losses)
+        losses = [F.sum("loss0").alias("_sum_train_loss"), F.count("loss0").alias("_n_train_loss")]
+        return _apply(model.select("side", "id", "factors", "bias"), messages, s, losses)
 
     def epochs(self, model: DataFrame, n: int) -> Iterator[tuple[int, DataFrame, float]]:
         """Run ``n`` steps; yields (epoch, model, mean loss the step started from).

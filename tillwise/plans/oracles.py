@@ -131,12 +131,12 @@ labelled AS (
   SELECT customer_id, product_id, 0, ntile(5) OVER (ORDER BY generation, position) - 1 FROM negatives)"""
 
 RATIO = PAIRS + f""",
-numbered AS (SELECT customer_id, product_id, row_number() OVER (ORDER BY
+numbered AS MATERIALIZED (SELECT customer_id, product_id, row_number() OVER (ORDER BY
     {_md5('ratio-row', 'customer_id', 'product_id')}) - 1 AS row_no FROM pairs),
 draws AS (SELECT row_no * 3 + i AS draw FROM numbered, (SELECT unnest([0, 1, 2]) AS i)),
-placed AS (SELECT draw, CAST(('0x' || substr({_md5('ratio-draw', 'draw')}, 1, 15)) AS BIGINT)
+placed AS MATERIALIZED (SELECT draw, CAST(('0x' || substr({_md5('ratio-draw', 'draw')}, 1, 15)) AS BIGINT)
     % (SELECT count(*) FROM pairs) AS row_no FROM draws),
-drawn AS (SELECT draw, customer_id, product_id FROM placed JOIN numbered USING (row_no)),
+drawn AS MATERIALIZED (SELECT draw, customer_id, product_id FROM placed JOIN numbered USING (row_no)),
 moved AS (SELECT row_number() OVER (ORDER BY {_md5('ratio-item', 'draw')}, draw) - 1 AS draw,
     product_id FROM drawn),
 ratio AS (
@@ -145,6 +145,24 @@ ratio AS (
   SELECT d.customer_id, m.product_id, CAST(0 AS DOUBLE), draw FROM drawn d JOIN moved m USING (draw))"""
 
 
+#: Draws that hit a pair take an unseen item of the user, by its place among the rows of the pairs.
+UNSEEN = RATIO + f""",
+again AS MATERIALIZED (SELECT r.draw, r.customer_id FROM ratio r JOIN pairs USING (customer_id, product_id) WHERE label = 0),
+weight AS (SELECT product_id, count(*) AS w FROM pairs GROUP BY product_id),
+open AS (SELECT u.customer_id, product_id, w, sum(w) OVER (PARTITION BY u.customer_id ORDER BY product_id) - w AS low,
+    sum(w) OVER (PARTITION BY u.customer_id) AS total
+  FROM (SELECT DISTINCT customer_id FROM again) u CROSS JOIN weight
+  ANTI JOIN pairs p ON p.customer_id = u.customer_id AND p.product_id = weight.product_id),
+total AS (SELECT customer_id, any_value(total) AS total FROM open GROUP BY customer_id),
+number AS (SELECT draw, customer_id, CAST(('0x' || substr({_md5('ratio-unseen', 'draw')}, 1, 15)) AS BIGINT) % total AS n
+  FROM again JOIN total USING (customer_id)),
+unseen AS (
+  SELECT customer_id, product_id, label, draw FROM ratio WHERE draw NOT IN (SELECT draw FROM again)
+  UNION ALL
+  SELECT n.customer_id, product_id, CAST(0 AS DOUBLE), draw FROM number n JOIN open o
+    ON n.customer_id = o.customer_id AND n.n >= low AND n.n < low + w)"""
+
+
 def _grown(rounds: int = 2) -> str:
     columns = "transaction_count, quantity_sum, first_purchase, last_purchase"
     parts = ["""
@@ -487,6 +505,25 @@ SELECT CAST(doc_number_text AS VARCHAR) AS doc_number_text, CAST(calday AS VARCH
   quantity, is_accessory, CAST(customer_id AS VARCHAR) AS customer_id FROM dirty""",
         "chunk_files": f"""WITH {PAIRS}
 SELECT customer_id, product_id, quantity_sum, {_chunk(5)} AS chunk FROM pairs""",
+        "renamed_csv": f"WITH {PAIRS} SELECT customer_id, product_id, quantity_sum FROM pairs",
+        "ratings_tsv": f"""WITH {PAIRS}
+SELECT 'ü' || customer_id AS user_id, 'é' || product_id AS movie_id, CAST(transaction_count AS DOUBLE) AS rating FROM pairs""",
+        "binary_feedback": f"""WITH {PAIRS}
+SELECT 'ü' || customer_id AS user_id, 'é' || product_id AS movie_id, CAST(1 AS DOUBLE) AS rating FROM pairs""",
+        "labelled_pair_files": f"""WITH {PAIRS}
+SELECT printf('%08d', customer_id) AS customer_id, 'm, ' || product_id AS material,
+  CAST(CASE WHEN quantity_sum > 25 THEN 1 ELSE 0 END AS BIGINT) AS rating_type FROM pairs""",
+        "chunk_csv": f"""WITH {PAIRS}
+SELECT customer_id, product_id, quantity_sum, {_chunk(5)} AS chunk FROM pairs""",
+        "appended_pairs": f"WITH {PAIRS} SELECT customer_id, product_id, quantity_sum FROM pairs",
+        "stored_model": f"WITH {PAIRS},{_start(4, 2.0)} {_model(0, 4)}",
+        "run_records": f"""WITH {PAIRS}
+SELECT '{{"least": ' || least || '}}' AS config, count(*) AS n, round(avg(quantity_sum), 6) AS mean
+FROM pairs, (VALUES (0), (25)) t(least) WHERE quantity_sum > least GROUP BY least""",
+        "sparse_matrix": f"""WITH {PAIRS}
+SELECT customer_id, product_id // 512 AS block, count(DISTINCT product_id) AS ones,
+  string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY product_id) AS codes
+FROM pairs GROUP BY customer_id, product_id // 512""",
         "synthetic_pairs": f"""WITH {PAIRS},
 placed AS (SELECT row_number() OVER (ORDER BY {TIME}) - 1 AS position, first_purchase, quantity_sum FROM pairs),
 {_shuffled('pairs', 'shuffled', 'synthetic')}
@@ -503,6 +540,7 @@ SELECT customer_id, normalized_customer_id, material, product_id, {_chunk(5)} AS
         "ncf_dataset": f"""WITH {LABELLED}
 SELECT customer_id, product_id, CAST(rating_type AS BIGINT) AS rating_type, chunk FROM labelled""",
         "ratio_negatives": f"WITH {RATIO} SELECT * FROM ratio",
+        "ratio_negatives_unseen": f"WITH {UNSEEN} SELECT * FROM unseen",
         "binary_matrix": "WITH e AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"
         + " SELECT user_id, "
         + ", ".join(f"CAST(max(CASE WHEN k = {k} THEN 1 ELSE 0 END) AS BIGINT) AS k_{k}" for k in range(100))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillwise.functions.ratings import COUNT_CUTS, QUANTITY_CUTS, composite_rating, quartile_place
 from tillwise.functions.scores import array_dot, nine_decimals, sigmoid, two_decimals
@@ -53,7 +54,7 @@ def _fixed_factors(pairs: DataFrame, rank: int = RANK, scale: float = 1.0) -> tu
         mf.start_model(pairs.select(USER).distinct(), pairs.select(ITEM).distinct(), rank, scale=scale),
         "factors",
     )
-    return mf.as_arrays(model, "u", USER, rank), mf.as_arrays(model, "i", ITEM, rank)
+    return mf.as_arrays(model, "u", USER), mf.as_arrays(model, "i", ITEM)
 
 
 def _text(df: DataFrame, *dates: str) -> DataFrame:
@@ -85,6 +86,94 @@ def chunk_files(spark: SparkSession, folder: str) -> DataFrame:
     return back.select(USER, ITEM, "quantity_sum", F.col("chunk").cast("bigint").alias("chunk"))
 
 
+def renamed_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs written as CSV under other names, and read back by position."""
+    path = new_path(spark, "csv")
+    pairs = _pairs(spark, folder).select(F.col(USER).alias("a"), F.col(ITEM).alias("b"), F.col("quantity_sum").alias("c"))
+    sinks.write_csv(pairs, path)
+    return readers.read_renamed(spark, path, _schema(f"{USER} bigint, {ITEM} bigint, quantity_sum double"))
+
+
+def _schema(text: str) -> T.StructType:
+    return T._parse_datatype_string(text)
+
+
+def _ratings_file(spark: SparkSession, folder: str) -> str:
+    """Counts of the pairs as a headerless, tab-separated Latin-1 file with text ids."""
+    path = new_path(spark, "ratings")
+    rows = _pairs(spark, folder).select(
+        F.concat(F.lit("ü"), USER), F.concat(F.lit("é"), ITEM), "transaction_count", F.unix_date("first_purchase")
+    )
+    rows.write.option("sep", "\t").option("encoding", "ISO-8859-1").csv(path)
+    return path
+
+
+def ratings_tsv(spark: SparkSession, folder: str) -> DataFrame:
+    return readers.read_ratings_tsv(spark, _ratings_file(spark, folder))
+
+
+def binary_feedback(spark: SparkSession, folder: str) -> DataFrame:
+    """Every rating becomes one."""
+    return readers.read_ratings_tsv(spark, _ratings_file(spark, folder), rating=1.0)
+
+
+def labelled_pair_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled pairs in the five-column layout; ids stay text, the label becomes an integer."""
+    path = new_path(spark, "csv")
+    sinks.write_csv(
+        _pairs(spark, folder).select(
+            F.format_string("%08d", USER).alias("customer"), F.col(USER).alias("number"),
+            F.concat(F.lit("m, "), ITEM).alias("part"), F.col(ITEM).alias("product"), _liked().cast("double").alias("label"),
+        ),
+        path,
+    )
+    back = readers.read_pairs(spark, path, labelled=True)
+    return back.withColumn("rating_type", F.col("rating_type").cast("bigint"))
+
+
+def chunk_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """One CSV file set a chunk, all read in one scan with the chunk number of the name."""
+    root = new_path(spark, "chunks")
+    chunked = materialize(_chunked_pairs(spark, folder), "chunked")
+    paths = [f"{root}/set_{n}.csv" for n in range(5)]
+    for n, path in enumerate(paths):
+        sinks.write_csv(chunked.where(F.col("chunk") == n).select(USER, ITEM, "quantity_sum"), path)
+    back = readers.read_chunks(spark, paths, _schema(f"{USER} bigint, {ITEM} bigint, quantity_sum double"))
+    return back.withColumn("chunk", F.col("chunk").cast("bigint"))
+
+
+def appended_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Liked and other pairs appended to one table one after the other."""
+    path = new_path(spark, "appended")
+    pairs = _written_pairs(spark, folder)
+    for some in (_liked(), ~_liked()):
+        sinks.append_rows(pairs.where(some).select(USER, ITEM, "quantity_sum"), path)
+    return spark.read.parquet(path)
+
+
+def stored_model(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest of two saved versions of a model, scaled by its stored setting."""
+    path = new_path(spark, "model")
+    pairs = _written_pairs(spark, folder)
+    users, items = pairs.select(USER).distinct(), pairs.select(ITEM).distinct()
+    sinks.save_model(mf.start_model(users, items, SMALL.rank, "older"), path, rank=SMALL.rank, scale=9.0)
+    sinks.save_model(mf.start_model(users, items, SMALL.rank), path, rank=SMALL.rank, scale=2.0)
+    model, settings = sinks.load_model(spark, path)
+    grown = F.transform("factors", lambda x: x * F.lit(settings["scale"]))
+    return _rounded_model(model.withColumn("factors", grown), settings["rank"])
+
+
+def run_records(spark: SparkSession, folder: str) -> DataFrame:
+    """A record for each rating threshold, appended one by one and read back."""
+    path = new_path(spark, "runs")
+    pairs = _written_pairs(spark, folder)
+    for least in (0, 25):
+        row = pairs.where(F.col("quantity_sum") > least).agg(F.count(F.lit(1)).alias("n"), F.avg("quantity_sum").alias("mean")).first()
+        sinks.append_run(spark, path, {"least": least}, {"n": row["n"], "mean": row["mean"]})
+    runs = spark.read.schema("config string, metrics map<string,double>").json(path)
+    return runs.select("config", F.col("metrics")["n"].cast("bigint").alias("n"), F.round(F.col("metrics")["mean"], 6).alias("mean"))
+
+
 # -- curation and features -------------------------------------------------
 
 def curate_ds1(spark: SparkSession, folder: str) -> DataFrame:
@@ -336,20 +425,30 @@ def ratio_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.ratio_negatives(_written_pairs(spark, folder), 3, USER, ITEM)
 
 
+def ratio_negatives_unseen(spark: SparkSession, folder: str) -> DataFrame:
+    """As ratio_negatives, but no draw is a pair."""
+    return sampling.ratio_negatives(_written_pairs(spark, folder), 3, USER, ITEM, exclude_positives=True)
+
+
 def binary_matrix(spark: SparkSession, folder: str) -> DataFrame:
     out = sampling.binary_matrix(tables.events(spark, folder), "user_id", "item", "k_")
     return out.select("user_id", *[F.col(c).cast("bigint").alias(c) for c in out.columns[1:]])
 
 
+def sparse_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole 0/1 matrix of customers and products, in rows of at most 512 columns."""
+    out = sampling.sparse_rows(_written_pairs(spark, folder), USER, ITEM, block=512)
+    return out.select(USER, "block", F.size("codes").cast("bigint").alias("ones"), F.concat_ws(",", F.col("codes").cast("array<string>")).alias("codes"))
+
+
 # -- models ----------------------------------------------------------------
 
 SMALL = mf.Settings(rank=4, rate=0.05, penalty=0.02, bias_penalty=0.02)
 
 
 def _rounded_model(model: DataFrame, rank: int) -> DataFrame:
-    return model.select(
-        "side", "id", *[F.round(c, 6).alias(c) for c in [*mf.factor_names(rank), "bias"]]
-    )
+    columns = mf.wide(model, rank)
+    return columns.select("side", "id", *[F.round(c, 6).alias(c) for c in columns.columns[2:]])
 
 
 def _ratings(spark: SparkSession, folder: str) -> DataFrame:
@@ -435,10 +534,8 @@ def als_ratings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def als_topn(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = _written_pairs(spark, folder).select(
-        F.col(USER).cast("int").alias(USER), F.col(ITEM).cast("int").alias(ITEM), "quantity_sum"
-    )
-    users, items, _ = learners.retrieval_factors(pairs, USER, ITEM, "quantity_sum", rank=16)
+    pairs = _written_pairs(spark, folder)
+    users, items = learners.retrieval_factors(pairs, USER, ITEM, "quantity_sum", rank=16)
     return scoring.top_n(users, items, 10, USER, ITEM)
 
 
@@ -448,11 +545,7 @@ def _network(spark: SparkSession, folder: str):
     labelled = materialize(
         sampling.ratio_negatives(pairs, 3, USER, ITEM).drop("draw"), "labelled"
     )
-    users, items, _ = learners.retrieval_factors(
-        pairs.select(F.col(USER).cast("int"), F.col(ITEM).cast("int"), "quantity_sum"),
-        USER, ITEM, "quantity_sum", rank=8, rounds=3,
-    )
-    users, items = materialize(users, "users"), materialize(items, "items")
+    users, items = learners.retrieval_factors(pairs, USER, ITEM, "quantity_sum", rank=8)
     rows = materialize(
         learners.crossed_features(labelled, users, items, USER, ITEM), "crossed"
     )
@@ -512,7 +605,7 @@ def _predicted(pairs: DataFrame, rows: DataFrame, rank: int = RANK) -> DataFrame
     model = materialize(
         mf.start_model(pairs.select(USER).distinct(), pairs.select(ITEM).distinct(), rank), "factors"
     )
-    return mf.predict(rows, model, USER, ITEM, rank)
+    return mf.predict(rows, model, USER, ITEM)
 
 
 def regression_error(spark: SparkSession, folder: str) -> DataFrame:
@@ -581,15 +674,22 @@ def map_at_k(spark: SparkSession, folder: str) -> DataFrame:
 
 # -- streaming -------------------------------------------------------------
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = tables.table(spark, folder, "events").schema
-    # A pattern: it finds one file as well as a folder of files.
-    return spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
+def _event_stream(spark: SparkSession, folder: str, batches: int = 6) -> DataFrame:
+    """All events as a stream of several micro-batches, a file each, in the order of their ids."""
+    events = tables.table(spark, folder, "events")
+    path = new_path(spark, "events")
+    least, most = events.agg(F.min("event_id"), F.max("event_id")).first()
+    width = (most - least) // batches + 1
+    for n in range(batches):
+        part = events.where(F.col("event_id").between(least + n * width, least + (n + 1) * width - 1))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def stream_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """The running mean after all micro-batches; the records of the first ones have been put together."""
     target, checkpoint = new_path(spark, "stream-mean"), new_path(spark, "stream-checkpoint")
-    query = running.running_mean(_event_stream(spark, folder), "value", target, checkpoint)
+    query = running.running_mean(_event_stream(spark, folder), "value", target, checkpoint, compact=3)
     query.awaitTermination()
     return running.latest_mean(spark, target).select("n", F.round("mean", 6).alias("mean"))
 
@@ -597,7 +697,7 @@ def stream_mean(spark: SparkSession, folder: str) -> DataFrame:
 def stream_ids(spark: SparkSession, folder: str) -> DataFrame:
     target, checkpoint = new_path(spark, "stream-ids"), new_path(spark, "stream-checkpoint")
     query = running.grow_codes(
-        _event_stream(spark, folder), "user_id", "event_id", target, checkpoint
+        _event_stream(spark, folder), "user_id", "event_id", target, checkpoint, buckets=8, compact=3
     )
     query.awaitTermination()
     return running.read_codes(spark, target, "user_id", "bigint")
@@ -605,12 +705,13 @@ def stream_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     found = [
-        transactions_csv, chunk_files, flagship, curate_ds1, curate_ds2, mcq, interaction_features, global_mean, dataset_profile,
+        transactions_csv, chunk_files, renamed_csv, ratings_tsv, binary_feedback, labelled_pair_files, chunk_csv,
+        appended_pairs, stored_model, run_records, flagship, curate_ds1, curate_ds2, mcq, interaction_features, global_mean, dataset_profile,
         first_non_null, quantile_histogram, equal_width_rating, quartile_rating, shift_years,
         time_chunks, random_split, holdout_heavy_users, ground_truth, cv_folds, cv_posneg_folds,
         catalogues, cardinalities, oov_lookup, positive_pairs, complement, rated_triplets,
         triplet_counts, catalogue_triplets, synthetic_pairs, grown_dataset, tt_dataset,
-        negative_feedback, ncf_dataset, ratio_negatives, binary_matrix, mf_step, mf_epochs,
+        negative_feedback, ncf_dataset, ratio_negatives, ratio_negatives_unseen, binary_matrix, sparse_matrix, mf_step, mf_epochs,
         logistic_step, bpr_step, bpr_loss, svd_cross_validation, als_ratings, als_topn, ncf_two_stage, ncf_topn, score_all, vector_topk,
         topn_table, regression_error, binary_metrics, topk_confusion, fold_average, auc, map_at_k,
         stream_mean, stream_ids,

@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwise.sources import folders
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header in every part file; quotes inside a text are doubled."""
@@ -42,18 +44,38 @@ def write_catalogues(df: DataFrame, user: str, item: str, path: str) -> None:
         df.select(column).distinct().write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def save_model(model: DataFrame, path: str, **settings: Any) -> None:
-    """A factor table and the settings it was fitted with."""
-    model.write.mode("overwrite").partitionBy("side").parquet(f"{path}/factors")
-    spark = model.sparkSession
-    spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "settings string").write.mode(
-        "overwrite"
-    ).json(f"{path}/settings")
-
+def save_model(model: DataFrame, path: str, **settings: Any) -> int:
+    """A factor table and the settings it was fitted with, as a new version; gives its number.
 
-def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, Any]]:
-    text = spark.read.schema("settings string").json(f"{path}/settings").first()[0]
-    return spark.read.parquet(f"{path}/factors"), json.loads(text)
+    The factors are written first and the version is published last, by the
+    settings, which is one committed write.  A save that fails before leaves
+    the version before it in force.  That one is kept, older ones are deleted.
+    """
+    spark = model.sparkSession
+    known = versions(spark, path)
+    number = known[-1] + 1 if known else 1
+    model.write.mode("overwrite").partitionBy("side").parquet(f"{path}/factors/{number}")
+    row = spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "settings string")
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/published/{number}")
+    for old in known[:-1]:
+        folders.delete(spark, f"{path}/published/{old}")
+        folders.delete(spark, f"{path}/factors/{old}")
+    return number
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Published versions of a model, oldest first."""
+    return sorted(int(name) for name in folders.finished(spark, f"{path}/published"))
+
+
+def load_model(spark: SparkSession, path: str, version: int | None = None) -> tuple[DataFrame, dict[str, Any]]:
+    """The newest published version, or the one asked for."""
+    known = versions(spark, path)
+    if not known or version not in (None, *known):
+        raise ValueError(f"no published version {version or ''} in {path}")
+    number = known[-1] if version is None else version
+    text = spark.read.schema("settings string").json(f"{path}/published/{number}").first()[0]
+    return spark.read.parquet(f"{path}/factors/{number}"), json.loads(text)
 
 
 def append_run(
