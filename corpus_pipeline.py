@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.llm import bpe, decontaminate, quality, secrets, simhash
+from tillwise.llm.joins import unused
 from tillwise.scratch import materialize
 
 #: Documents below this probability of good quality go.
@@ -15,8 +16,9 @@ LEAST_QUALITY = 0.7
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that a model of all labels rates below ``LEAST_QUALITY``."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rated = quality.score(docs, model, out="_score")
-    return rated.where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    (out,) = unused(docs.columns, "_score")
+    rated = quality.score(docs, model, out=out)
+    return rated.where(F.col(out) >= LEAST_QUALITY).select(*[f"`{c}`" for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +36,14 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     done = secrets.redact(docs)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.char_length("text").cast("bigint"))
-    return done.select(*docs.columns)
+    return done.select(*[f"`{c}`" for c in docs.columns])
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with their number."""
+    """Token ids of every document, with their number, and the text that they decode to."""
     kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
-    encoded = bpe.encode(docs.select(*kept, F.col("text").alias("_text")), "_text", decoded=False)
-    return encoded.select(*kept, F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    encoded = bpe.encode(docs.select(*kept, F.col("text").alias("_text")), "_text")
+    return encoded.select(*kept, F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [
