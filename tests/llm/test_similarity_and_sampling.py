@@ -65,7 +65,7 @@ def near_copies(seed=3):
 def test_links_equal_all_pairs(spark, monkeypatch, width, percent):
     # Homes of a few members each, shared shingles in several parts.
     monkeypatch.setattr(jaccard, "HOME_BYTES", 4096)
-    monkeypatch.setattr(jaccard, "PAIRED_AT_ONCE", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
     rows = near_copies(width)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = similar(df, width=width, percent=percent)

@@ -62,11 +62,12 @@ def with_columns(df: DataFrame, fields: Sequence[tuple[str, str]], make: Make) -
     """``df`` with further columns, made by a function of the batch.
 
     ``make`` runs once in each task and returns the function that gives one
-    list or array per field.  Columns of ``df`` with the name of a field are
-    replaced.
+    list or array per field.  Columns of ``df`` with the name of a field, in
+    any case, are replaced.
     """
     names = [name for name, _ in fields]
-    kept = df.select(*[f"`{c}`" for c in df.columns if c not in names])
+    taken = {name.lower() for name in names}
+    kept = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
     added = T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in fields))
     out = T.StructType([*kept.schema.fields, *added.fields])
     types = [f.type for f in to_arrow_schema(added)]

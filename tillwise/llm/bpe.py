@@ -4,7 +4,7 @@ For every word a segment tree over the ranks of adjacent pairs gives, at its
 root, the leftmost merge of the lowest rank; a merge changes at most three
 leaves, each with a walk to the root, until no pair can be merged.  The trees
 of all new words of a batch with the same number of leaves are kept as rows
-of one array and walked together.
+of one array and walked together; a long word has a tree of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import functools
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,11 @@ from tillwise.llm.arrow import texts, with_columns
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 NONE = np.int64(2**62)
-#: Number of tokens, their ids, their names.
-Shown = tuple[int, str, str]
-#: Words and white-space separated pieces whose encoding a worker remembers.
-REMEMBERED = 50_000
+Ids = tuple[int, ...]
+#: Letters of the words, and of the white-space separated pieces, whose encoding a worker remembers at least.
+REMEMBERED = 500_000
+#: Leaves of a word from which on it is merged alone.
+LONG = 256
 #: Leaves of the trees that are walked together.
 LEAVES_AT_ONCE = 1 << 18
 
@@ -41,20 +43,29 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
-def recall(ages: list[dict[str, Shown]], wanted: set[str], learn, always: dict[str, Shown] | None = None) -> None:
-    """Make the younger table hold all that is wanted, from the older one or learnt."""
-    if len(ages[0]) > REMEMBERED:
-        ages[:] = [{}, ages[0]]
-    young, old = ages
-    young.update(always or {})
-    new = []
-    for w in wanted.difference(young):
-        x = old.get(w)
-        if x is None:
-            new.append(w)
-        else:
-            young[w] = x
-    learn(new)
+class Memory:
+    """What was learnt about words, by age: when the younger half is full it becomes the older one, which goes."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, Ids] = {}
+        self.old: dict[str, Ids] = {}
+        self.letters = 0
+
+    def recall(self, wanted: set[str], learn: Callable[[list[str]], Iterable[Ids]]) -> dict[str, Ids]:
+        """A table of all that is wanted; what is not remembered is learnt."""
+        if self.letters > REMEMBERED:
+            self.young, self.old, self.letters = {}, self.young, 0
+        young, old = self.young, self.old
+        new = []
+        for w in wanted.difference(young):
+            x = old.get(w)
+            if x is None:
+                new.append(w)
+            else:
+                young[w] = x
+            self.letters += len(w)
+        young.update(zip(new, learn(new), strict=True))
+        return young
 
 
 class WordBpe:
@@ -81,10 +92,8 @@ class WordBpe:
         self.word = regex.compile(split["pattern"]["Regex"].replace(r"\s", white))
         self.blank = regex.compile(white + "+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.id_text = {i: str(i) for i in self.names}
-        #: Words and pieces by age; the older half goes when the younger is full.
-        self.words: list[dict[str, Shown]] = [{}, {}]
-        self.pieces: list[dict[str, Shown]] = [{}, {}]
+        self.ranks = {code: rank for rank, code in reversed(list(enumerate((pairs[:, 0] * self.wide + pairs[:, 1]).tolist())))}
+        self.words, self.pieces = Memory(), Memory()
 
     def place(self, codes: np.ndarray) -> None:
         """A hash table from pair to rank; a search ends after the longest run of taken slots."""
@@ -169,10 +178,55 @@ class WordBpe:
             rows = rows[tree[root + 1] < NONE]
         return symbol.reshape(m, wide)
 
-    def learn_words(self, words: list[str]) -> None:
+    def merge_long(self, symbol: list[int]) -> list[int]:
+        """Merge one long word: a tree of its own, whose walks end where nothing changes."""
+        leaves = 1 << (len(symbol) - 2).bit_length()
+        none, ranks, wide, merged = int(NONE), self.ranks, int(self.wide), self.merged
+        after, before = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
+        tree = [none] * (2 * leaves)
+
+        def leaf(left: int, right: int) -> int:
+            r = ranks.get(symbol[left] * wide + symbol[right])
+            return none if r is None else r * leaves + left
+
+        for i in range(len(symbol) - 1):
+            tree[leaves + i] = leaf(i, i + 1)
+        for i in range(leaves - 1, 0, -1):
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+        def put(place: int, value: int) -> None:
+            node = place + leaves
+            tree[node] = value
+            node >>= 1
+            while node:
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    return
+                tree[node] = least
+                node >>= 1
+
+        while tree[1] < none:
+            rank, left = divmod(tree[1], leaves)
+            gone = after[left]
+            right = after[gone]
+            symbol[left], symbol[gone] = int(merged[rank]), -1
+            after[left] = right
+            if gone < leaves:
+                put(gone, none)
+            if right < len(symbol):
+                before[right] = left
+                put(left, leaf(left, right))
+            else:
+                put(left, none)
+            if before[left] >= 0:
+                put(before[left], leaf(before[left], left))
+        return [x for x in symbol if x >= 0]
+
+    def learn_words(self, words: list[str]) -> list[Ids]:
         """Encode words, those with the same number of leaves together."""
         if not words:
-            return
+            return []
         data = [w.encode("utf-8", "replace") for w in words]
         size = np.fromiter(map(len, data), np.int64, len(data))
         flat = np.frombuffer(b"".join(data), dtype=np.uint8)
@@ -184,9 +238,13 @@ class WordBpe:
             symbols = symbols[symbols >= 0]
         starts = np.cumsum(size) - size
         leaves = np.where(size > 1, 1 << np.ceil(np.log2(np.maximum(size - 1, 1))).astype(np.int64), 1)
-        learnt = self.words[0]
+        learnt: list[Ids] = [()] * len(words)
         for n in np.unique(leaves).tolist():
             group = np.flatnonzero(leaves == n)
+            if n >= LONG:
+                for w in group.tolist():
+                    learnt[w] = tuple(self.merge_long(symbols[starts[w] : starts[w] + size[w]].tolist()))
+                continue
             step = max(1, LEAVES_AT_ONCE // n)
             for at in range(0, len(group), step):
                 part = group[at : at + step]
@@ -197,12 +255,12 @@ class WordBpe:
                 grid = self.merge(grid, n)
                 kept = grid >= 0
                 ids = grid[kept].tolist()
-                shown, names = list(map(self.id_text.__getitem__, ids)), list(map(self.names.__getitem__, ids))
                 upto = np.cumsum(kept.sum(axis=1)).tolist()
                 a = 0
                 for w, b in zip(part.tolist(), upto, strict=True):
-                    learnt[words[w]] = (b - a, " ".join(shown[a:b]), " ".join(names[a:b]))
+                    learnt[w] = tuple(ids[a:b])
                     a = b
+        return learnt
 
     def split(self, text: str) -> list[str]:
         """White-space separated pieces of a text without special tokens; no word spans two."""
@@ -215,44 +273,38 @@ class WordBpe:
             pieces = [p for p in self.blank.split(text) if p]
         return pieces
 
-    def learn_pieces(self, pieces: list[str]) -> None:
+    def learn_pieces(self, pieces: list[str]) -> Iterable[Ids]:
         """Encode white-space separated pieces."""
-        cut = [(p, [p] if p.isalpha() else self.word.findall(p)) for p in pieces]
-        recall(self.words, {w for _, words in cut for w in words}, self.learn_words)
-        known, learnt = self.words[0], self.pieces[0]
-        for p, words in cut:
-            if len(words) == 1:
-                learnt[p] = known[words[0]]
-            else:
-                parts = [x for x in map(known.__getitem__, words) if x[0]]
-                learnt[p] = (sum(x[0] for x in parts), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts]))
+        cut = [[p] if p.isalpha() else self.word.findall(p) for p in pieces]
+        known = self.words.recall({w for words in cut for w in words}, self.learn_words)
+        for words in cut:
+            yield known[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(known.__getitem__, words)))
 
-    def encode(self, batch: Sequence[str]) -> list[Shown]:
-        """Count of tokens, ids and decoded text of each text, the latter two joined by spaces."""
+    def encode(self, batch: Sequence[str]) -> list[list[int]]:
+        """The ids of each text."""
         cut: list[list[str]] = []
+        special: dict[str, Ids] = {}
         for text in batch:
             if "<|" in text:
                 parts: list[str] = []
                 for i, part in enumerate(self.cut.split(text)):
-                    # A special token keeps a leading blank, which no piece of a text has.
-                    parts.extend([" " + part] if i % 2 else self.split(part))
+                    if i % 2:
+                        # A special token keeps a leading blank, which no piece of a text has.
+                        special[" " + part] = (self.special[part],)
+                        parts.append(" " + part)
+                    else:
+                        parts.extend(self.split(part))
             else:
                 parts = self.split(text)
             cut.append(parts)
-        recall(self.pieces, set().union(*cut), self.learn_pieces, {" " + t: (1, str(i), t) for t, i in self.special.items()})
-        known = self.pieces[0]
-        out: list[Shown] = []
-        for parts in cut:
-            found = list(map(known.__getitem__, parts))
-            if self.gaps:
-                found = [x for x in found if x[0]]
-            n, ids, names = zip(*found, strict=True) if found else ((), (), ())
-            out.append((sum(n), " ".join(ids), " ".join(names)))
-        return out
+        known = self.pieces.recall(set().union(*cut).difference(special), self.learn_pieces)
+        if special:
+            known = known | special
+        return [list(chain.from_iterable(map(known.__getitem__, parts))) for parts in cut]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens joined by spaces, special ones included; unknown ids are skipped."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        return " ".join([name for name in map(self.names.get, ids) if name is not None])
 
 
 @functools.lru_cache(maxsize=2)
@@ -268,7 +320,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = VOCABULARY, decoded:
         bpe = tokenizer(path)
 
         def work(batch: pa.RecordBatch):
-            ids = [[int(i) for i in x[1].split()] for x in bpe.encode(texts(batch, text))]
+            ids = bpe.encode(texts(batch, text))
             return [ids, [bpe.decode(i) for i in ids]] if decoded else [ids]
 
         return work
@@ -285,9 +337,9 @@ def digests(docs: DataFrame, text: str = "text", path: str = VOCABULARY, doc_id:
         def work(batch: pa.RecordBatch):
             found = bpe.encode(texts(batch, "_text"))
             return [
-                [n for n, _, _ in found],
-                [hashlib.sha256(i.encode()).hexdigest() for _, i, _ in found],
-                [hashlib.sha256(t.encode()).hexdigest() for _, _, t in found],
+                [len(ids) for ids in found],
+                [hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() for ids in found],
+                [hashlib.sha256(bpe.decode(ids).encode()).hexdigest() for ids in found],
             ]
 
         return work

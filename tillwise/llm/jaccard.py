@@ -10,11 +10,11 @@ places of the shingle and by counts of their shingles in a few bins, and only
 what is left is expanded to members and verified on the whole sets.
 
 Whole sets are never shuffled for all documents: a set is made again from the
-text of its first document where some pair of groups needs it.  Members lie in
-homes of a bounded size, by their first prefix shingle, and a unit of work is a
-pair of homes, so that near copies meet in few units, each set goes to a unit
-once, and no unit grows with the number of copies.  A unit gives one row per
-member, not per link.
+text of its first document where some pair of groups needs it.  Groups
+that may be similar are connected to candidate components, small ones share a
+unit of work, and a large one is cut into homes of a bounded size, every two of
+which are a unit.  So near copies meet in few units, and neither a list nor a
+unit leaves more than a row for each of its members.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +39,8 @@ SHINGLE = 3
 PERCENT = 90
 #: Counters of the shingle frequencies, and bins of the profile of a set.
 COUNTERS, BINS = 1 << 22, 64
-#: Groups that share a shingle and are paired in one task with all others that do.
-PAIRED_AT_ONCE = 2_000
+#: Groups of a block of a long list, and pairs of groups that are compared at once.
+BLOCK, PAIRS = 1_024, 200_000
 #: Bytes of the sets of a home; a set counts as at least the second number.
 HOME_BYTES, LEAST_BYTES = 2 << 20, 1 << 10
 
@@ -138,186 +137,189 @@ def described(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
     return bounded(docs).mapInArrow(describe, out)
 
 
-def group_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Distinct pairs (ga, gb) of groups that may hold similar sets; a group of several sets also with itself.
+def candidates(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) of groups that connect every two groups which may hold similar sets.
 
-    ``sets`` has ``gid``, ``n`` and ``prefix``.  Every linked pair passes at
-    the first shingle that both prefixes share, where nothing before it is
-    common, so that the rest of the smaller tail bounds the intersection.
+    ``sets`` has ``gid``, ``n``, ``prefix`` and ``profile``.  The groups that
+    share a shingle are one list, a row; a long list is cut into blocks, of
+    which every two meet in a list of their own.  A list compares its groups
+    and leaves one link for each that has a partner, not one for each pair.
     """
     groups = sets.groupBy("n", "prefix").agg(
         F.min("gid").alias("gid"), F.when(F.count(F.lit(1)) == 1, F.min("profile")).alias("profile")
     )
-    groups = materialize(groups, "groups")
-    rows = materialize(groups.select("gid", "n", F.posexplode("prefix").alias("place", "token")), "prefixes")
+    rows = groups.select("gid", "n", "profile", F.posexplode("prefix").alias("place", "token"))
+    rows = materialize(rows, "prefixes")
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    fan = F.ceil(F.col("df") / PAIRED_AT_ONCE).cast("bigint")
-    rows = materialize(rows.join(shared, "token").withColumn("fan", fan).drop("df"), "shared")
-    a = rows.select(
-        "token", F.col("gid").alias("ga"), F.col("n").alias("na"), F.col("place").alias("pa"),
-        F.pmod(F.xxhash64("gid"), "fan").alias("salt"),
-    )
-    b = rows.select(
-        "token", F.col("gid").alias("gb"), F.col("n").alias("nb"), F.col("place").alias("pb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("fan") - 1)).alias("salt"),
-    )
-    most = 1 + F.least(F.expr("na - pa - 1"), F.expr("nb - pb - 1"))
-    different = (
-        a.join(b, ["token", "salt"])
-        .where("na < nb or (na = nb and ga < gb)")
-        .where(F.col("na") * 100 >= F.col("nb") * percent)
-        .where(most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-        .select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb"))
-        .distinct()
-    )
-    different = _profiled(different, groups.select("gid", "n", "profile"), percent)
-    own = sets.groupBy("gid").count().where("count > 1").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
-    return different.unionAll(own)
+    blocks = F.ceil(F.col("df") / BLOCK).cast("bigint")
+    rows = rows.join(shared, "token").withColumn("blocks", F.when(F.col("df") <= 2 * BLOCK, F.lit(1).cast("bigint")).otherwise(blocks))
+    own = F.pmod(F.xxhash64("gid"), "blocks")
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("token", "gid", "n", "place", "profile", own.alias("own"), other)
+    met = rows.groupBy("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    lists = met.agg(F.collect_list(F.struct("gid", "n", "place", "profile")).alias("groups")).where(F.size("groups") > 1)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = _connected(batch.column("groups"), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        give_back()
 
+    return bounded(lists.select("groups")).mapInArrow(compare, "a long, b long").distinct()
 
-def _profiled(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose profiles leave room for the intersection they need; a group of several sets has no profile."""
-    a = groups.select(F.col("gid").alias("ga"), F.col("n").alias("na"), F.col("profile").alias("fa"))
-    b = groups.select(F.col("gid").alias("gb"), F.col("n").alias("nb"), F.col("profile").alias("fb"))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.ones(batch.num_rows, dtype=bool)
-            known = pc.and_(batch.column("fa").is_valid(), batch.column("fb").is_valid()).to_numpy(zero_copy_only=False)
-            some = batch.filter(pa.array(known))
-            fa, fb = (np.frombuffer(b"".join(some.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in ("fa", "fb"))
-            least = np.minimum(fa, fb)
-            need = percent * (some.column("na").to_numpy() + some.column("nb").to_numpy())
-            good[known] = (least == 255).any(axis=1) | ((100 + percent) * least.sum(axis=1, dtype=np.int64) >= need)
-            yield batch.select(["ga", "gb"]).filter(pa.array(good))
+def _connected(lists: pa.ListArray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the groups of each list that connect what may be similar.
 
-    return pairs.join(a, "ga").join(b, "gb").mapInArrow(keep, "ga long, gb long")
+    A pair passes that is linked at the first shingle both prefixes share,
+    where nothing before it is common: then the rest of the smaller tail
+    bounds the intersection.
+    """
+    entries = lists.flatten()
+    gid, n, place = (entries.field(c).to_numpy().astype(np.int64) for c in ("gid", "n", "place"))
+    # A group of several sets has no profile, which leaves room for anything.
+    open_ = b"\xff" * BINS
+    profile = np.frombuffer(b"".join([p or open_ for p in entries.field("profile").to_pylist()]), dtype=np.uint8).reshape(-1, BINS)
+    size = lists.value_lengths().to_numpy()
+    start = np.cumsum(size) - size
+    label = np.arange(len(gid))
+    # Every group with those behind it in its list, as many groups at once as make PAIRS pairs.
+    behind = np.repeat(start + size, size) - np.arange(len(gid)) - 1
+    upto = np.cumsum(behind)
+    at = 0
+    while at < len(gid):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+        i = np.repeat(np.arange(at, end), behind[at:end])
+        j = _ranges(np.arange(at, end) + 1, behind[at:end])
+        at = end
+        rest = np.minimum(n[i] - place[i], n[j] - place[j])
+        both = n[i] + n[j]
+        good = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * rest >= percent * both)
+        i, j = i[good], j[good]
+        good = _roomy(profile[i], profile[j], both[good], percent)
+        _join(label, i[good], j[good])
+    linked = np.flatnonzero(label != np.arange(len(gid)))
+    return gid[linked], gid[label[linked]]
+
+
+def _roomy(a: np.ndarray, b: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the profiles leave room for the intersection that sizes adding up to ``both`` need."""
+    least = np.minimum(a, b)
+    return (least == 255).any(axis=1) | ((100 + percent) * least.sum(axis=1, dtype=np.int64) >= percent * both)
+
+
+def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give all places that pairs (i, j) connect the smallest label among them."""
+    while len(i):
+        least = np.minimum(label[i], label[j])
+        if (least == label[i]).all() and (least == label[j]).all():
+            return
+        for side in (i, j):
+            np.minimum.at(label, label[side], least)
+            np.minimum.at(label, side, least)
+        label[:] = label[label]
 
 
-def in_homes(sets: DataFrame) -> DataFrame:
-    """``sets`` (key, n, first, ...) with a ``home``: those of one first shingle together, if they are not too many."""
-    bytes_ = F.greatest(F.lit(LEAST_BYTES), F.col("n") * 8)
-    total = sets.agg(F.sum(bytes_)).first()[0] or 0
-    homes = max(1, math.ceil(total / HOME_BYTES))
-    full = sets.groupBy("first").agg(F.sum(bytes_).alias("bytes")).where(F.col("bytes") > HOME_BYTES)
-    full = checked(full.select("first", F.ceil(F.col("bytes") / HOME_BYTES).alias("fan")), "full")
-    salt = F.pmod(F.xxhash64("key"), F.coalesce("fan", F.lit(1)))
-    return sets.join(full, "first", "left").withColumn("home", F.pmod(F.xxhash64("first", salt), F.lit(homes))).drop("fan")
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after the other."""
+    before = np.cumsum(length) - length
+    return np.repeat(start - before, length) + np.arange(int(length.sum()))
 
 
-def verify(pairs: pa.Table, members: pa.Table, percent: int) -> pa.Table:
-    """Links of a unit: for every member that has some, its ``root`` among them and the ``links``, copies counted.
+def verify(members: pa.Table, percent: int) -> pa.Table:
+    """Links of a unit: for every member that has some, its ``near`` root among them and the ``links``, copies counted.
 
-    A pair of members is worked out in the unit of their two homes only.
+    Members of one ``root`` are compared, in a unit of two homes only those of
+    different homes.
     """
-    empty = pa.table({"key": pa.array([], pa.binary()), "root": pa.array([], pa.binary()), "links": pa.array([], pa.int64())})
-    if not pairs.num_rows or not members.num_rows:
-        return empty
-    at = _first_of_each(members.column("key").to_pylist())
-    members = members.take(pa.array(at))
-    members = members.take(pa.array(np.argsort(members.column("gid").to_numpy(), kind="stable")))
     keys = members.column("key").to_pylist()
-    gid, home, copies = (members.column(c).to_numpy() for c in ("gid", "home", "copies"))
-    size = members.column("n").to_numpy()
-    tokens = np.frombuffer(b"".join(members.column("tokens").to_pylist()), dtype=np.uint64)
-    tokens = np.unique(tokens, return_inverse=True)[1]
+    # Rows with the same id and text come several times.
+    at = sorted({(k, h): i for i, (k, h) in reversed(list(enumerate(zip(keys, members.column("home").to_pylist(), strict=True))))}.values())
+    members = members.take(pa.array(at, pa.int64()))
+    members = members.take(pa.array(np.lexsort((members.column("n").to_numpy(), members.column("root").to_numpy()))))
+    keys = members.column("key").to_pylist()
+    root, home, copies, size = (members.column(c).to_numpy() for c in ("root", "home", "copies", "n"))
+    hashes = np.frombuffer(b"".join(members.column("tokens").to_pylist()), dtype=np.uint64)
     start = np.cumsum(size) - size
+    profiles = np.frombuffer(b"".join([profile(hashes[s : s + n]) for s, n in zip(start, size, strict=True)]), dtype=np.uint8).reshape(-1, BINS)
+    tokens = np.unique(hashes, return_inverse=True)[1]
     marked = np.zeros(int(tokens.max(initial=-1)) + 1, dtype=bool)
-    two_homes = pairs.column("ua")[0].as_py() != pairs.column("ub")[0].as_py()
+    two_homes = len(members) > 0 and members.column("i")[0].as_py() != members.column("j")[0].as_py()
     links = np.zeros(len(keys), dtype=np.int64)
-    up = np.arange(len(keys))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    ga, gb = pairs.column("ga").to_numpy(), pairs.column("gb").to_numpy()
-    by = np.lexsort((gb, ga))
-    ga, gb = ga[by], gb[by]
-    edges = np.flatnonzero(np.r_[True, ga[1:] != ga[:-1], True])
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        first, last = np.searchsorted(gid, gb[lo:hi]), np.searchsorted(gid, gb[lo:hi], side="right")
-        others = _ranges(first, last - first)
-        for a in range(int(np.searchsorted(gid, ga[lo])), int(np.searchsorted(gid, ga[lo], side="right"))):
-            near = others[(gid[others] != gid[a]) | (others > a)]
-            if two_homes:
-                near = near[home[near] != home[a]]
-            near = near[100 * np.minimum(size[near], size[a]) >= percent * np.maximum(size[near], size[a])]
-            if not len(near):
-                continue
-            mine = tokens[start[a] : start[a] + size[a]]
-            marked[mine] = True
-            both = np.add.reduceat(marked[tokens[_ranges(start[near], size[near])]], np.cumsum(size[near]) - size[near], dtype=np.int64)
-            marked[mine] = False
-            linked = near[(100 + percent) * both >= percent * (size[near] + size[a])]
-            links[a] += copies[linked].sum()
-            links[linked] += copies[a]
-            for b in linked.tolist():
-                x, y = root(a), root(b)
-                up[max(x, y)] = min(x, y)
+    label = np.arange(len(keys))
+    ends = np.searchsorted(root, root, side="right")
+    for a in range(len(keys)):
+        # Of those behind it the sizes rise, so that the similar ones are a run.
+        end = a + 1 + int(np.searchsorted(size[a + 1 : ends[a]], 100 * size[a] // percent, side="right"))
+        near = np.arange(a + 1, end)
+        if two_homes:
+            near = near[home[near] != home[a]]
+        near = near[_roomy(profiles[near], profiles[a], size[near] + size[a], percent)]
+        if not len(near):
+            continue
+        mine = tokens[start[a] : start[a] + size[a]]
+        marked[mine] = True
+        both = np.add.reduceat(marked[tokens[_ranges(start[near], size[near])]], np.cumsum(size[near]) - size[near], dtype=np.int64)
+        marked[mine] = False
+        linked = near[(100 + percent) * both >= percent * (size[near] + size[a])]
+        links[a] += copies[linked].sum()
+        links[linked] += copies[a]
+        _join(label, np.full(len(linked), a), linked)
     found = np.flatnonzero(links)
     return pa.table(
         {
             "key": pa.array([keys[i] for i in found], pa.binary()),
-            "root": pa.array([keys[root(i)] for i in found], pa.binary()),
+            "near": pa.array([keys[label[i]] for i in found], pa.binary()),
             "links": pa.array(links[found], pa.int64()),
         }
     )
 
 
-def _first_of_each(keys: list[bytes]) -> list[int]:
-    return sorted({k: i for i, k in reversed(list(enumerate(keys)))}.values())
-
-
-def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The numbers start, start + 1, ... of each range, one range after the other."""
-    before = np.cumsum(length) - length
-    return np.repeat(start - before, length) + np.arange(int(length.sum()))
-
-
 def with_tokens(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Members of groups (gid, home, key, n, copies, row keys) with their whole sets, made from the texts again."""
+    """``wanted`` (row keys, other columns) with the whole set of each row as ``tokens``, made from its text again."""
+    names = [c for c in wanted.columns if c not in KEYS]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
-                kept = [batch.column(c) for c in ("gid", "home", "key", "n", "copies")]
-                yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array([s.tobytes() for s in _sets(batch, width)], pa.binary())],
-                    names=["gid", "home", "key", "n", "copies", "tokens"],
-                )
+                tokens = pa.array([s.tobytes() for s in _sets(batch, width)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], tokens], names=[*names, "tokens"])
         give_back()
 
-    rows = docs.join(wanted, KEYS).select("_text", "gid", "home", "key", "n", "copies")
-    return bounded(rows).mapInArrow(make, "gid long, home long, key binary, n long, copies long, tokens binary")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema.fields if f.name in names)
+    return bounded(docs.join(wanted, KEYS).select("_text", *names)).mapInArrow(make, f"{kinds}, tokens binary")
 
 
 def links(docs: DataFrame, sets: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(key, root, links): for sets that are linked with others, a set they are connected to, and their links in a unit."""
-    pairs = materialize(group_pairs(sets, percent), "pairs")
-    some = pairs.select(F.col("ga").alias("gid")).unionAll(pairs.select(F.col("gb").alias("gid"))).distinct()
-    wanted = sets.join(some, "gid", "left_semi").select("gid", "key", "n", "copies", F.get("prefix", F.lit(0)).alias("first"), *KEYS)
-    wanted = materialize(in_homes(materialize(wanted, "wanted")), "homes")
-    places = wanted.select("gid", "home").distinct()
-    one = places.select(F.col("gid").alias("ga"), F.col("home").alias("ha"))
-    other = places.select(F.col("gid").alias("gb"), F.col("home").alias("hb"))
-    unit = [F.least("ha", "hb").alias("ua"), F.greatest("ha", "hb").alias("ub")]
-    meetings = materialize(pairs.join(one, "ga").join(other, "gb").select(*unit, "ga", "gb").distinct(), "meetings")
-    sides = [meetings.select("ua", "ub", F.col(g).alias("gid"), F.col(u).alias("home")) for g in ("ga", "gb") for u in ("ua", "ub")]
-    present = sides[0].unionAll(sides[1]).unionAll(sides[2]).unionAll(sides[3]).distinct()
-    tokens = materialize(with_tokens(docs, checked(wanted.drop("first")), width), "tokens")
-    members = tokens.join(present, ["gid", "home"]).withColumnsRenamed({"ua": "va", "ub": "vb"})
-
-    def solve(pairs: pa.Table, members: pa.Table) -> pa.Table:
-        return verify(pairs, members, percent)
-
-    return (
-        meetings.groupBy("ua", "ub")
-        .cogroup(members.groupBy("va", "vb"))
-        .applyInArrow(solve, "key binary, root binary, links long")
+    """(key, near, links): for sets that are linked with others, a set they are connected to, and their links in a unit."""
+    roots = components(materialize(candidates(sets, percent), "candidates"))
+    roots = materialize(roots.withColumnRenamed("node", "gid"), "roots")
+    several = sets.groupBy("gid").count().where("count > 1").select("gid", F.col("gid").alias("root"))
+    places = checked(roots.unionByName(several.join(roots.select("gid"), "gid", "left_anti")), "places")
+    wanted = materialize(sets.join(places, "gid").select("root", "key", "n", "copies", *KEYS), "wanted")
+    bytes_ = F.greatest(F.lit(LEAST_BYTES), F.col("n") * 8)
+    total = wanted.agg(F.sum(bytes_)).first()[0] or 0
+    units = max(1, math.ceil(total / HOME_BYTES))
+    full = wanted.groupBy("root").agg(F.ceil(F.sum(bytes_) / HOME_BYTES).alias("fan")).where("fan > 1")
+    fan = F.coalesce("fan", F.lit(1).cast("bigint"))
+    wanted = wanted.join(checked(full, "full"), "root", "left").select(
+        *KEYS, "root", "key", "n", "copies", fan.alias("fan"), F.pmod(F.xxhash64("key"), fan).alias("home")
     )
+    tokens = materialize(with_tokens(docs, checked(wanted, "homes"), width), "tokens")
+    # Small roots share units; every two homes of a large one are a unit.
+    alone = F.col("fan") > 1
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("fan") - 1)).alias("other")
+    dealt = tokens.select("*", other).select(
+        F.when(alone, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(units))).alias("unit"),
+        F.when(alone, F.least("home", "other")).otherwise(-1).alias("i"),
+        F.when(alone, F.greatest("home", "other")).otherwise(-1).alias("j"),
+        "root", "home", "key", "n", "copies", "tokens",
+    )
+
+    def solve(members: pa.Table) -> pa.Table:
+        return verify(members, percent)
+
+    return dealt.groupBy("unit", "i", "j").applyInArrow(solve, "key binary, near binary, links long")
 
 
 def similar(
@@ -349,7 +351,7 @@ def similar(
     )
     with temporary(docs.sparkSession) as keep:
         linked = keep(links(rows, sets, width, percent), "linked")
-    roots = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    roots = components(linked.select(F.col("key").alias("a"), F.col("near").alias("b")))
     roots = materialize(roots.withColumnRenamed("node", "key"), "roots")
     degree = linked.groupBy("key").agg(F.sum("links").alias("links"))
     member = roots.join(sets.select("key", "least"), "key")

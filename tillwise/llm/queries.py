@@ -109,36 +109,33 @@ FROM f JOIN b ON f.page_id = b.page_id
 """
 
 OP3 = """
-WITH w AS (
+WITH w AS MATERIALIZED (
     SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w
     FROM documents
 ),
-v AS (
+v AS MATERIALIZED (
     SELECT DISTINCT item_id,
         list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS v
     FROM benchmark
 ),
-masks(m, k) AS (VALUES (0, [0, 1, 2, 3, 4, 5]), (1, [0, 1, 2, 4, 5, 6]), (2, [0, 1, 3, 4, 6, 7])),
+-- The masks of items of at least 13 words; the given ones have no less.
+masks(m, k) AS (VALUES (0, [0, 1, 3, 5, 6, 7]), (1, [0, 1, 2, 3, 6, 7])),
 ds AS (
-    SELECT doc_id, w, p, m, list_transform(k, lambda o: w[p + 1 + o]) AS seed
+    SELECT doc_id, p, m, list_transform(k, lambda o: w[p + 1 + o]) AS seed
     FROM (SELECT doc_id, w, unnest(range(len(w))) AS p FROM w), masks WHERE p + k[6] < len(w)
 ),
 bs AS (
-    SELECT item_id, v, q, m, list_transform(k, lambda o: v[q + 1 + o]) AS seed
+    SELECT item_id, q, m, list_transform(k, lambda o: v[q + 1 + o]) AS seed
     FROM (SELECT item_id, v, unnest(range(len(v))) AS q FROM v), masks WHERE q + k[6] < len(v)
 ),
-hit AS (
-    SELECT doc_id, item_id, p, p - q AS d, q, w, v, least(13, len(v)) AS span
-    FROM ds JOIN bs ON ds.m = bs.m AND ds.seed = bs.seed
-),
+hit AS (SELECT DISTINCT doc_id, item_id, p - q AS d FROM ds JOIN bs ON ds.m = bs.m AND ds.seed = bs.seed),
 rated AS (
-    SELECT doc_id, item_id, p, list_max(list_transform(
-        range(greatest(0, q - span + 1), least(q, len(v) - span) + 1),
-        lambda s: list_sum(list_transform(range(s, s + span),
-            lambda i: CASE WHEN d + i >= 0 AND w[d + i + 1] = v[i + 1] THEN 1 ELSE 0 END)) / span)) AS share
-    FROM hit
+    SELECT doc_id, item_id, d, len(w) AS n, s, list_sum(list_transform(range(s, s + 13),
+        lambda i: CASE WHEN d + i >= 0 AND w[d + i + 1] = v[i + 1] THEN 1 ELSE 0 END)) / 13 AS share
+    FROM (SELECT hit.*, w, v, unnest(range(len(v) - 12)) AS s FROM hit JOIN w USING (doc_id) JOIN v USING (item_id))
 )
-SELECT doc_id, item_id, count(*) AS hits, min(p)::BIGINT AS first_word, max(p)::BIGINT AS last_word, max(share) AS share
+SELECT doc_id, item_id, min(greatest(0, d + s))::BIGINT AS first_word, max(least(n - 1, d + s + 12))::BIGINT AS last_word,
+    max(share) AS share
 FROM rated WHERE share >= 0.8 GROUP BY doc_id, item_id
 """
 

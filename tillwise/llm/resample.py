@@ -38,6 +38,7 @@ BUCKETS = 10_000
 PERCENT, LEAST_WORDS, SEED = 25, 20, 7
 #: Words of the head and the bytes such a word has at most, words whose pairs are counted, pairs of the head.
 HEAD, HEAD_BYTES, PAIRED, PAIRS = 16_384, 64, 1_024, 65_536
+SHARE = 32_768
 #: Words whose counts a task keeps before it passes them on.
 KEPT = 100_000
 
@@ -101,7 +102,10 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def head(texts: DataFrame, buckets: int = BUCKETS, size: int = HEAD, pairs: int = PAIRS) -> Head:
-    """The most frequent words and pairs of the column ``_text``, counted over all rows."""
+    """The most frequent words and pairs of the column ``_text``, counted over all rows.
+
+    A word of the head makes up at least one in ``SHARE`` of all words.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -124,8 +128,12 @@ def head(texts: DataFrame, buckets: int = BUCKETS, size: int = HEAD, pairs: int
         give_back()
 
     each = bounded(texts).mapInArrow(count, "word binary, n long")
-    first = each.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(size)
-    frequent = Head([bytes(r["word"]) for r in first.collect()], None, buckets)  # ``size`` words of at most 64 bytes
+    counted = materialize(each.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # Not more than SHARE words of at most 64 bytes make up one in SHARE of all words.
+    often = counted.where(F.col("n") * SHARE >= total).collect()
+    often.sort(key=lambda r: (-r["n"], bytes(r["word"])))
+    frequent = Head([bytes(r["word"]) for r in often[:size]], None, buckets)
     if not frequent.words or not pairs:
         return frequent
     known = texts.sparkSession.sparkContext.broadcast(frequent)

@@ -2,8 +2,9 @@
 
 Candidates of a whole text are found by patterns; their values are hashed and
 counted over distinct repositories and owners of the corpus.  A value that
-several owners carry is a widely copied example; a value of one or two owners
-looks live.  The base kinds are reported either way; ``token``, any other long
+several owners carry, or that one owner spreads over very many repositories, is
+a widely copied example; a value of one or two owners in few repositories looks
+live.  The base kinds are reported either way; ``token``, any other long
 random-looking string, is reported only where it looks live.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.arrow import texts, with_columns
-from tillwise.llm.joins import KEYS, checked, row_keys
+from tillwise.llm.joins import checked, keyed, unused
 from tillwise.scratch import materialize
 
 # Fixed values of the contract.
@@ -33,8 +34,8 @@ KINDS = ("assign", "access", "hex")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 TOKEN_CHARS, TOKEN_BITS = 20, 3.5
-#: A value of at least so many owners is a copied example.
-EXAMPLE_OWNERS = 3
+#: A value of at least so many owners, or in so many repositories whoever owns them, is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 25
 #: Shorter runs without white space hold neither an access key, a hex string nor a token.
 RUN = re.compile(r"[^\s]{20,}")
 
@@ -109,7 +110,7 @@ def ownership(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
-        .withColumn("live", F.col("owners") < EXAMPLE_OWNERS)
+        .withColumn("live", (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_REPOSITORIES))
     )
 
 
@@ -178,26 +179,27 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     ones too, stay as they are.  Rows are matched to their spans by id and
     text, so repeated rows get the same text.
     """
-    keyed = docs.withColumns(row_keys("doc_id", text))
+    rows, keys = keyed(docs, "doc_id", text)
+    spans, new = unused(rows.columns, "_live", "_new")
     live = F.filter("spans", lambda s: s["live"])
-    found = judged(keyed, "doc_id", "source", text, *KEYS).select(
-        *KEYS, F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias("_live")
+    found = judged(rows, "doc_id", "source", text, *keys).select(
+        *keys, F.transform(live, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias(spans)
     )
-    found = checked(found.where(F.size("_live") > 0).dropDuplicates(KEYS))
-    joined = keyed.join(found, KEYS, "left")
+    found = checked(found.where(F.size(spans) > 0).dropDuplicates(keys))
+    joined = rows.join(found, keys, "left")
 
     def make():
         def work(batch: pa.RecordBatch):
             return [
-                [t if not spans else without(t, spans, mark) for t, spans in zip(
-                    batch.column(text).to_pylist(), batch.column("_live").to_pylist(), strict=True
+                [t if not cut else without(t, cut, mark) for t, cut in zip(
+                    batch.column(text).to_pylist(), batch.column(spans).to_pylist(), strict=True
                 )]
             ]
 
         return work
 
-    done = with_columns(joined, [("_new", "string")], make)
-    return done.select(*[F.col("_new").alias(c) if c == text else F.col(c) for c in docs.columns])
+    done = with_columns(joined, [(new, "string")], make)
+    return done.select(*[F.col(new).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def without(text: str, spans: list[dict[str, int]], mark: str) -> str:

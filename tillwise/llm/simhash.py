@@ -21,7 +21,7 @@ from xxhash import xxh64_intdigest
 
 from tillwise.llm.arrow import texts, with_columns
 from tillwise.llm.components import components
-from tillwise.llm.joins import KEYS, checked, row_keys
+from tillwise.llm.joins import checked, keyed
 from tillwise.scratch import materialize
 
 SEED = 42
@@ -132,10 +132,13 @@ def shards(distinct: DataFrame, radius: int = RADIUS, fingerprint: str = "finger
     for n, (i, j) in enumerate(combinations(range(8), 2)):
         mask = (1 << 64) - 1 ^ 0xFF << 8 * i ^ 0xFF << 8 * j
         keys.append(
-            F.struct(F.lit(n).cast("tinyint").alias("n"), F.col(fingerprint).bitwiseAND(F.lit(signed(mask))).alias("k"))
+            F.struct(F.lit(n).cast("tinyint").alias("n"), F.col("f").bitwiseAND(F.lit(signed(mask))).alias("k"))
         )
+    # Written fingerprints lie in few files; their copies are made in as many tasks as the session shuffles with.
     return (
-        distinct.select(F.col(fingerprint).alias("f"), F.explode(F.array(*keys)).alias("shard"))
+        distinct.select(F.col(fingerprint).alias("f"))
+        .repartition(shuffle_tasks(distinct), "f")
+        .select("f", F.explode(F.array(*keys)).alias("shard"))
         .groupBy("shard.n", "shard.k")
         .agg(F.collect_list("f").alias("members"))
         .where(F.size("members") > 1)
@@ -143,6 +146,10 @@ def shards(distinct: DataFrame, radius: int = RADIUS, fingerprint: str = "finger
     )
 
 
+def shuffle_tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, fingerprint: str = "fingerprint") -> DataFrame:
     """Links (a, b) that connect every two fingerprints within the radius, directly or through others."""
 
@@ -192,20 +199,20 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     Rows without an id stay only where no member has one; of rows with equal
     id and text one stays.
     """
-    keyed = docs.withColumns(row_keys())
-    found = materialize(groups(keyed, "doc_id", "text", shingle, radius, KEYS), "groups")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", *KEYS)
+    rows, keys = keyed(docs)
+    found = materialize(groups(rows, "doc_id", "text", shingle, radius, keys), "groups")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", *keys)
     first = found.groupBy("root").agg(F.min(place).alias("first"))
-    first = materialize(first.select("root", *[F.col(f"first.{k}").alias(f"{k}_") for k in KEYS]), "first")
-    same = (F.col("_k1") == F.col("_k1_")) & (F.col("_k2") == F.col("_k2_"))
-    others = checked(found.join(first, "root").where(~same).select(*KEYS).distinct())
-    kept = keyed.join(others, KEYS, "left_anti")
-    repeated = materialize(found.groupBy(*KEYS).count().where("count > 1").select(*KEYS), "repeated")
+    first = materialize(first.select("root", *[F.col(f"first.{k}").alias(f"{k}_") for k in keys]), "first")
+    same = (F.col(keys[0]) == F.col(f"{keys[0]}_")) & (F.col(keys[1]) == F.col(f"{keys[1]}_"))
+    others = checked(found.join(first, "root").where(~same).select(*keys).distinct())
+    kept = rows.join(others, keys, "left_anti")
+    repeated = materialize(found.groupBy(*keys).count().where("count > 1").select(*keys), "repeated")
     if not repeated.isEmpty():
         repeated = checked(repeated)
-        once = kept.join(repeated, KEYS, "left_semi").dropDuplicates(KEYS)
-        kept = kept.join(repeated, KEYS, "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+        once = kept.join(repeated, keys, "left_semi").dropDuplicates(keys)
+        kept = kept.join(repeated, keys, "left_anti").unionByName(once)
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
