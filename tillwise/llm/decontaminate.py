@@ -81,13 +81,17 @@ def seeded(rows: DataFrame, of: str, masks: list[str], where: Column | None = No
 
 
 def _outside_runs(of: str, masks: list[str]) -> Column:
-    """Whether the words that a hit at ``position`` can compare are not all the same."""
-    at, before = F.col("position"), WINDOW
-    after = WINDOW + max(map(len, masks), default=0)
+    """Whether the words that a hit at ``position`` can compare are not all the same.
+
+    Nearly every place ends at the comparison with its neighbour.  All of it is
+    compiled, so that the exploded places go on to their seeds without a copy
+    of the words for each.
+    """
+    at, after = F.col("position"), WINDOW + max(map(len, masks), default=0)
     word = F.get(of, at)
-    same = F.coalesce(word == F.get(of, at + 1), F.lit(False)) & (at > before) & (at + after < F.size(of))
-    inside = F.forall(F.sequence(at - before, at + after), lambda i: F.get(of, i) == word)
-    return ~F.when(same, inside).otherwise(F.lit(False))
+    inside = (F.get(of, at + 1) == word) & (at >= WINDOW) & (at + after < F.size(of))
+    length = WINDOW + 1 + after
+    return ~F.coalesce(inside & (F.slice(of, at - WINDOW + 1, length) == F.array_repeat(word, length)), F.lit(False))
 
 
 def _windows(text: Column, item: Column, diagonal: Column, first: Column, last: Column) -> Column:
