@@ -283,3 +283,122 @@ def test_network_learns_the_blocks(spark):
     both = top.join(out, [U, I])
     assert both.count() == 144
     assert both.agg(F.max(F.abs(F.col("score") - F.col("probability")))).first()[0] < 1e-8
+
+
+@pytest.mark.parametrize("k", [1, 7])
+def test_bounds_leave_out_blocks_and_change_nothing(spark, k):
+    """Lengths that fall off steeply: most pairs of blocks are not joined, and the table is the same."""
+    rng = np.random.default_rng(4)
+    q = rng.normal(size=(400, 4)) * np.exp(-np.arange(400) / 40)[:, None]
+    q[200:230] = q[180]  # equal items over the edge of a block
+    p = rng.normal(size=(60, 4))
+    users = side(spark, U, p, rng.normal(size=60) * 0.01)
+    items = side(spark, I, q, rng.normal(size=400) * 0.01)
+    gone = spark.createDataFrame([(u, i) for u in range(0, 60, 7) for i in range(0, 30)], f"{U} bigint, {I} bigint")
+    met = {}
+    some = {"offset": 0.25, "exclude": gone, "below": 3.0, "slice_bytes": 7 * 8 * 20}
+    pruned = scoring.top_n(users, items, k, met=met, **some)
+    plain = scoring.top_n(users, items, k, prune=False, **some)
+    whole = scoring.top_n(users, items, k, **(some | {"slice_bytes": 10**9}))
+    want = sorted(map(tuple, whole.collect()))
+    assert sorted(map(tuple, pruned.collect())) == sorted(map(tuple, plain.collect())) == want
+    assert met["joined"] < met["possible"] * (0.5 if k == 1 else 0.67) and len(want) == 60 * k
+
+
+def test_ids_may_be_texts(spark):
+    name = lambda tag, n: f"{tag}-{n:03d}ü"
+    users = materialize(spark.createDataFrame([(name("u", u), P[u].tolist(), float(BU[u])) for u in range(NU)], f"{U} string, factors array<double>, bias double"))
+    items = materialize(spark.createDataFrame([(name("i", i), Q[i].tolist(), float(BI[i])) for i in range(NI)], f"{I} string, factors array<double>, bias double"))
+    bought = spark.createDataFrame([(name("u", u), name("i", best(u, 1)[0])) for u in range(5)] + [("nobody", "nothing")], f"{U} string, {I} string")
+    for size in (10**9, 5 * 8 * 9):
+        got = listed(scoring.top_n(users, items, 3, offset=0.5, exclude=bought, slice_bytes=size))
+        assert got == {name("u", u): [name("i", i) for i in best(u, 3, {best(u, 1)[0]} if u < 5 else ())] for u in range(NU)}
+        truth = spark.createDataFrame([(name("u", u), name("i", (u * 5) % NI)) for u in range(NU)], f"{U} string, {I} string")
+        places = {r[U]: r for r in scoring.true_item_places(truth, users, items, offset=0.5, slice_bytes=size).collect()}
+        for u in range(NU):
+            s = np.round(SCORES[u], 9)
+            row = places[name("u", u)]
+            assert (row.below, row.equal) == ((s < s[(u * 5) % NI]).sum(), (s == s[(u * 5) % NI]).sum())
+    rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 3.0), ("b", "x", 2.0)], "u string, i string, r double")
+    fit = mf.Factorization(materialize(rows), "u", "i", "r", mf.Settings(rank=2, rate=0.1))
+    *_, (_, model, _, _) = fit.epochs(fit.start(), 2)
+    assert {(r.side, r.id) for r in model.collect()} == {("u", "a"), ("u", "b"), ("i", "x"), ("i", "y")}
+
+
+@pytest.mark.parametrize("rank", [50, 350])
+def test_a_step_at_full_rank_equals_numpy(spark, rank):
+    """The ranks of full models: gradients in several pieces, planned in a moment."""
+    import time
+
+    df = materialize(planted(spark).where("u < 6 and i < 5"))
+    rows = df.collect()
+    s = mf.Settings(rank=rank, rate=0.2, penalty=0.01, bias_penalty=0.01)
+    fit = mf.Factorization(df, "u", "i", "r", s, held_out=F.col("test"))
+    start = fit.start()
+    before = arrays(start, rank)
+    began = time.perf_counter()
+    step = fit.step(start)
+    step._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - began < 10
+    want = numpy_step(rows, *before, fit.offset, s)
+    for got, expected in zip(arrays(step, rank), want, strict=True):
+        assert np.allclose(got, expected)
+
+
+def test_predictions_keep_rows_with_unknown_ids(spark):
+    model = spark.createDataFrame(
+        [("u", 1, [1.0, 2.0], 0.5), ("i", 7, [3.0, 0.5], 0.25)], "side string, id bigint, factors array<double>, bias double"
+    )
+    rows = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (2, 8), (None, 7)], "u bigint, i bigint")
+    got = {(r.u, r.i): r.score for r in mf.predict(rows, model, "u", "i", offset=3.0).collect()}
+    assert got == {(1, 7): 7.75, (1, 8): 3.5, (2, 7): 3.25, (2, 8): 3.0, (None, 7): 3.25}
+
+
+def dense_implicit(rows, start, rank, rounds, alpha, penalty):
+    """Items' start factors to user and item factors by whole matrices."""
+    users, items = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    y = np.array([start[i] for i in items])
+    x = None
+    for _ in range(rounds):
+        for own, other, at in ((users, items, 0), (items, users, 1)):
+            z = y if at == 0 else x
+            gram = z.T @ z
+            out = []
+            for o in own:
+                mine = [r for r in rows if r[at] == o]
+                v = np.array([z[other.index(r[1 - at])] for r in mine])
+                c = alpha * np.array([r[2] for r in mine])
+                left = gram + (v * c[:, None]).T @ v + penalty * len(mine) * np.eye(rank)
+                out.append(np.linalg.solve(left, ((1 + c)[:, None] * v).sum(axis=0)))
+            if at == 0:
+                x = np.array(out)
+            else:
+                y = np.array(out)
+    return dict(zip(users, x, strict=True)), dict(zip(items, y, strict=True))
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_implicit_factors_equal_dense_solves(spark, hot):
+    """Ids beyond 2**31; with ``hot`` the user and the item that hold half of all rows are cut over tasks."""
+    rng = np.random.default_rng(8)
+    big = 2**40
+    rows = [(big, big + i, float(rng.integers(1, 9))) for i in range(30)]
+    rows += [(big + u, big + int(i), float(rng.integers(1, 9))) for u in range(1, 12) for i in rng.choice(30, 4, replace=False)]
+    rows += [(big + u, big + 1, 1.0) for u in range(12, 40)]
+    df = spark.createDataFrame(rows, "u bigint, i bigint, s double").repartition(5)
+    fit = learners.Implicit(df, "u", "i", "s", rank=3, alpha=0.5, penalty=0.2)
+    if hot:
+        fit.hot = {
+            "user": spark.createDataFrame([(big, 4)], "user bigint, _fan int"),
+            "item": spark.createDataFrame([(big + 1, 3), (big + 2, 2)], "item bigint, _fan int"),
+        }
+    start = {r.item: r.factors for r in fit.start("item").collect()}
+    users, items = fit.fit(2)
+    want = dense_implicit(rows, start, 3, 2, 0.5, 0.2)
+    for table, key, expected in ((users, "u", want[0]), (items, "i", want[1])):
+        got = {r[key]: r.factors for r in table.collect()}
+        assert got.keys() == expected.keys()
+        for k, v in got.items():
+            assert np.allclose(v, expected[k])
+    named = learners.Implicit(df.select(F.col("u").cast("string"), F.concat(F.lit("x"), "i").alias("i"), "s"), "u", "i", "s", rank=2)
+    assert named.fit(1)[0].count() == len(want[0])

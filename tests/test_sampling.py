@@ -196,3 +196,37 @@ def test_no_plan_holds_a_cross_join(rated, small):
     for df in plans:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_unseen_draws_of_a_user_with_nearly_everything(spark):
+    """One item is left to user 0, and it is rare: one pass finds it for every draw."""
+    rows = [(0, i) for i in range(59)] + [(u, i) for u in range(1, 30) for i in range(0, 50, 2)] + [(30, 59)]
+    pairs = materialize(spark.createDataFrame(rows, "customer_id bigint, product_id bigint"))
+    got = sampling.ratio_negatives(pairs, 3, exclude_positives=True).where("label = 0").collect()
+    assert sorted(r.draw for r in got) == list(range(3 * len(rows)))
+    assert not {(r.customer_id, r.product_id) for r in got} & set(rows)
+    mine = [r.product_id for r in got if r.customer_id == 0]
+    assert len(mine) > 50 and set(mine) == {59}
+    whole = spark.createDataFrame(rows + [(0, 59)], "customer_id bigint, product_id bigint")
+    with pytest.raises(ValueError, match="every item"):
+        sampling.ratio_negatives(materialize(whole), 3, exclude_positives=True)
+
+
+def test_unseen_draws_follow_the_frequency_of_the_items(spark):
+    rows = [(u, 0) for u in range(400)] + [(u, 1) for u in range(100)] + [(1000, 2)]
+    pairs = materialize(spark.createDataFrame(rows, "customer_id bigint, product_id bigint"))
+    got = sampling._from_unseen(
+        spark.range(20_000).select(F.col("id").alias("draw"), F.lit(1000).cast("bigint").alias("customer_id")),
+        pairs, "customer_id", "product_id", "s",
+    )
+    counts = {r.product_id: r["count"] for r in got.groupBy("product_id").count().collect()}
+    assert set(counts) == {0, 1} and abs(counts[0] / 20_000 - 0.8) < 0.02
+
+
+def test_sparse_rows_hold_any_catalogue_in_bounded_lists(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("u"), (F.col("id") * 3).alias("i"))
+    df = df.unionAll(df.limit(10)).unionAll(spark.createDataFrame([(None, 1), (1, None)], "u bigint, i bigint"))
+    rows = sampling.sparse_rows(df, "u", "i", block=100).collect()
+    assert max(len(r.codes) for r in rows) <= 100
+    assert all(r.codes == sorted(set(r.codes)) and {c // 100 for c in r.codes} == {r.block} for r in rows)
+    assert {(r.u, c) for r in rows for c in r.codes} == {(n % 2, 3 * n) for n in range(5000)}

@@ -169,3 +169,42 @@ def test_a_batch_that_runs_again_gives_the_same_codes(spark, tmp_path):
         captured["f"](batch, number)
     got = {r.k: r.code for r in running.read_codes(spark, out, "k", "string").collect()}
     assert got == {"b": 0, "a": 1, "z": 2, "c": 3}
+
+
+def test_a_failed_save_leaves_the_old_model(spark, tmp_path):
+    path = str(tmp_path / "model")
+    model = spark.createDataFrame([("u", 1, [0.5], 0.0)], "side string, id bigint, factors array<double>, bias double")
+    with pytest.raises(ValueError, match="no published"):
+        sinks.load_model(spark, path)
+    assert sinks.save_model(model, path, rank=1) == 1
+    broken = model.withColumn("bias", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.save_model(broken, path, rank=2)
+    back, settings = sinks.load_model(spark, path)
+    assert settings == {"rank": 1} and back.count() == 1
+    # A model that was read from the path can be saved there again.
+    for n in (2, 3, 4):
+        newer = sinks.load_model(spark, path)[0].select("side", "id", "factors", F.lit(float(n)).alias("bias"))
+        assert sinks.save_model(newer, path, rank=n) == n
+    back, settings = sinks.load_model(spark, path)
+    assert settings == {"rank": 4} and back.first().bias == 4.0
+    assert sinks.versions(spark, path) == [3, 4] and sinks.load_model(spark, path, 3)[1] == {"rank": 3}
+
+
+def test_state_of_many_batches_stays_in_few_folders(spark, folder, tmp_path):
+    """Seven micro-batches, put together every third: the same mean and codes, few folders, only touched buckets read."""
+    events, stream = split_events(spark, folder, tmp_path, 7)
+    means, codes = str(tmp_path / "means"), str(tmp_path / "codes")
+    running.running_mean(stream, "value", means, str(tmp_path / "cp1"), compact=3).awaitTermination()
+    running.grow_codes(stream, "user_id", "event_id", codes, str(tmp_path / "cp2"), buckets=4, compact=3).awaitTermination()
+    want = events.agg(F.count("value"), F.avg("value")).first()
+    got = running.latest_mean(spark, means).first()
+    assert got.n == want[0] and got["mean"] == pytest.approx(want[1])
+    assert [r.batch for r in running.read_running_mean(spark, means).orderBy("batch").collect()] == list(range(7))
+    seen = list(dict.fromkeys(r.user_id for r in events.orderBy("event_id").collect()))
+    assert {r.user_id: r.code for r in running.read_codes(spark, codes, "user_id", "bigint").collect()} == {u: n for n, u in enumerate(seen)}
+    for target in (means, codes):
+        chain = running.segments(spark, target)
+        assert [(s.first, s.last) for s in chain] == [(0, 5), (6, 6)]
+    assert len(list((tmp_path / "codes").glob("0-5-*/bucket=*/*.parquet"))) <= 4
+    assert running.segments(spark, codes)[-1].end == len(seen)

@@ -15,6 +15,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 from tillwise.functions.hashing import unit
 from tillwise.functions.scores import array_dot, log_loss, sigmoid, triplet_loss
 from tillwise.operators.skew import hot_keys, spread_join
-from tillwise.scratch import discard, materialize
+from tillwise.scratch import discard, materialize, temporary
 
 
 #: Numbers of a gradient that are averaged as columns of one row.
@@ -112,8 +114,11 @@ def _pieces(rank: int) -> list[int]:
     return list(range(0, rank, PIECE))
 
 
-def _message(side: str, key: str, gradient: Column, bias: Column, rank: int, *extra: Column) -> Column:
-    """An array of rows (side, id, piece, g0.., g_bias, extra); the bias goes with the first piece."""
+def _message(side: str, key: str, gradient: Column, bias: Column, n: Column, rank: int, *extra: Column) -> Column:
+    """An array of rows (side, id, piece, n, g0.., g_bias, extra); the bias goes with the first piece.
+
+    ``gradient`` and ``bias`` are sums over ``n`` rows of the step.
+    """
     width = min(rank, PIECE)
 
     def piece(start: int) -> Column:
@@ -122,6 +127,7 @@ def _message(side: str, key: str, gradient: Column, bias: Column, rank: int, *ex
             F.lit(side).alias("side"),
             F.col(key).alias("id"),
             F.lit(start).alias("piece"),
+            n.cast("double").alias("n"),
             *[F.get(gradient, F.lit(start + k)).alias(f"g{k}") for k in range(width)],
             (bias if first else F.lit(None).cast("double")).alias("g_bias"),
             *[(e if first else F.lit(None).cast("double")).alias(f"loss{n}") for n, e in enumerate(extra)],
@@ -133,8 +139,9 @@ def _message(side: str, key: str, gradient: Column, bias: Column, rank: int, *ex
 def _apply(model: DataFrame, messages: DataFrame, s: Settings, extra: list[Column]) -> DataFrame:
     """Average the messages per (side, id) and move the model."""
     width = min(s.rank, PIECE)
+    n = F.nullif(F.sum("n"), F.lit(0.0))
     summed = messages.groupBy("side", "id", "piece").agg(
-        F.array(*[F.avg(f"g{k}") for k in range(width)]).alias("g"), F.avg("g_bias").alias("g_bias"), *extra
+        F.array(*[F.sum(f"g{k}") / n for k in range(width)]).alias("g"), (F.sum("g_bias") / n).alias("g_bias"), *extra
     )
     names = [c for c in summed.columns if c.startswith("_")]
     # A few pieces an id; the last one is filled up with nulls.
@@ -215,12 +222,13 @@ class Factorization:
         test = F.when(~learned, F.col("loss"))
         none = F.lit(None).cast("double")
         # Gradients are worked out once a row, then cut into pieces.
-        rows = rows.select("user", "item", error.alias("_error"), to_user.alias("_gu"), to_item.alias("_gi"), train.alias("_train"), test.alias("_test"))
+        one = F.when(learned, F.lit(1.0))
+        rows = rows.select("user", "item", error.alias("_error"), one.alias("_one"), to_user.alias("_gu"), to_item.alias("_gi"), train.alias("_train"), test.alias("_test"))
         messages = rows.select(
             F.inline(
                 F.concat(
-                    _message("u", "user", F.col("_gu"), F.col("_error"), s.rank, F.col("_train"), F.col("_test")),
-                    _message("i", "item", F.col("_gi"), F.col("_error"), s.rank, none, none),
+                    _message("u", "user", F.col("_gu"), F.col("_error"), F.col("_one"), s.rank, F.col("_train"), F.col("_test")),
+                    _message("i", "item", F.col("_gi"), F.col("_error"), F.col("_one"), s.rank, none, none),
                 )
             )
         )
@@ -307,9 +315,9 @@ class PairwiseRanking:
         messages = rows.select(
             F.inline(
                 F.concat(
-                    _message("u", "user", F.col("_gu"), F.lit(0.0), s.rank, F.col("loss")),
-                    _message("i", "positive", F.col("_gp"), F.col("_pull"), s.rank, none),
-                    _message("i", "negative", F.col("_gn"), F.col("_push"), s.rank, none),
+                    _message("u", "user", F.col("_gu"), F.lit(0.0), F.lit(1.0), s.rank, F.col("loss")),
+                    _message("i", "positive", F.col("_gp"), F.col("_pull"), F.lit(1.0), s.rank, none),
+                    _message("i", "negative", F.col("_gn"), F.col("_push"), F.lit(1.0), s.rank, none),
                 )
             )
         )
@@ -329,3 +337,103 @@ class PairwiseRanking:
                 discard(before)
             total, rows = model.agg(F.sum("_sum_train_loss"), F.sum("_n_train_loss")).first()
             yield epoch, model, _ratio(total, rows)
+
+
+class WholeRanking:
+    """Pairwise ranking over every triplet of a user's liked and other items.
+
+    A triplet (u, p, n) pulls with w = l (1 - l), l its loss, and its gradient
+    is w (q_p - q_n) for the user, w x_u for p and -w x_u for n.  So a step needs
+    of all triplets no more than the sums of w by (user, item), and these are
+    the row and column sums of small matrices: blocks of a user's liked items
+    meet blocks of its other items, and a meeting leaves one row per item.
+    ``rated`` holds distinct (user, item) rows, ``liked`` tells the sides.
+    """
+
+    def __init__(self, rated: DataFrame, user: str, item: str, liked: Column, settings: Settings, block: int = 1_024):
+        self.settings, self.block = settings, block
+        rows = rated.select(F.col(user).alias("user"), F.col(item).alias("item"), liked.alias("liked"))
+        sides = rows.groupBy("user").agg(F.count_if("liked").alias("n_liked"), F.count_if(~F.col("liked")).alias("n_other"))
+        sides = sides.where("n_liked > 0 and n_other > 0")
+        rows = spread_join(rows, sides, "user", ["item"], hot_keys(rows, "user"))
+        parts = F.ceil(F.when(F.col("liked"), F.col("n_liked")).otherwise(F.col("n_other")) / block)
+        part = F.pmod(F.xxhash64("item"), parts).alias("part")
+        self.rows = materialize(rows.select("user", "item", "liked", part), "rated")
+        self.hot_users, self.hot_items = hot_keys(self.rows, "user"), hot_keys(self.rows, "item")
+
+    def _with_factors(self, rows: DataFrame, model: DataFrame) -> DataFrame:
+        rows = spread_join(rows, side_of(model, "u", "user", "p"), "user", ["item"], self.hot_users)
+        return spread_join(rows, side_of(model, "i", "item", "q"), "item", ["user"], self.hot_items)
+
+    def sums(self, model: DataFrame) -> DataFrame:
+        """(user, item, liked, pull, loss, n): of all triplets of a user with an item the sum of w, of the losses, and how many."""
+        scored = self._with_factors(self.rows, model)
+        scored = scored.select("user", "item", "liked", "part", (array_dot(F.col("p"), F.col("q")) + F.col("q_bias")).alias("score"))
+        blocks = materialize(
+            scored.groupBy("user", "liked", "part").agg(F.array_sort(F.collect_list(F.struct("item", "score"))).alias("rows")), "blocks"
+        )
+        liked = blocks.where("liked").select("user", F.col("rows").alias("above"))
+        other = blocks.where("not liked").select("user", F.col("rows").alias("below"))
+        kinds = {c: self.rows.schema[c].dataType.simpleString() for c in ("user", "item")}
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    above, below = batch.column("above")[row].values, batch.column("below")[row].values
+                    far = above.field("score").to_numpy()[:, None] - below.field("score").to_numpy()[None, :]
+                    loss = 1.0 - 1.0 / (1.0 + np.exp(-far))
+                    pull = loss * (1.0 - loss)
+                    n, m = far.shape
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("user").take(pa.array(np.full(n + m, row))),
+                            pa.concat_arrays([above.field("item"), below.field("item")]),
+                            pa.array(np.arange(n + m) < n),
+                            pa.array(np.concatenate([pull.sum(axis=1), -pull.sum(axis=0)])),
+                            pa.array(np.concatenate([loss.sum(axis=1), np.zeros(m)])),
+                            pa.array(np.concatenate([np.full(n, m), np.full(m, n)]).astype(np.int64)),
+                        ],
+                        names=["user", "item", "liked", "pull", "loss", "n"],
+                    )
+
+        met = liked.join(other, "user").mapInArrow(
+            meet, f"user {kinds['user']}, item {kinds['item']}, liked boolean, pull double, loss double, n bigint"
+        )
+        return met.groupBy("user", "item", "liked").agg(*[F.sum(c).alias(c) for c in ("pull", "loss", "n")])
+
+    def step(self, model: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+        """One full-batch step down the mean loss of all triplets."""
+        s = self.settings
+        rows = self._with_factors(self.sums(model) if sums is None else sums, model)
+        of_user = F.when(F.col("liked"), F.col("n")).otherwise(F.lit(0))
+        none = F.lit(None).cast("double")
+        rows = rows.select(
+            "user", "item", "pull", "n", of_user.cast("double").alias("_n"), F.when(F.col("liked"), F.col("loss")).alias("_loss"),
+            F.transform("q", lambda x: F.col("pull") * x).alias("_gu"), F.transform("p", lambda x: F.col("pull") * x).alias("_gi"),
+        )
+        messages = rows.select(
+            F.inline(
+                F.concat(
+                    _message("u", "user", F.col("_gu"), F.lit(0.0), F.col("_n"), s.rank, F.col("_loss"), F.col("_n")),
+                    _message("i", "item", F.col("_gi"), F.col("pull"), F.col("n"), s.rank, none, none),
+                )
+            )
+        )
+        losses = [F.sum("loss0").alias("_sum_train_loss"), F.sum("loss1").alias("_n_train_loss")]
+        return _apply(model.select("side", "id", "factors", "bias"), messages, s, losses)
+
+    def loss(self, model: DataFrame) -> tuple[float | None, int]:
+        """Mean loss of all triplets, and how many there are."""
+        total, n = self.sums(model).where("liked").agg(F.sum("loss"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        return _ratio(total, n), n
+
+    def epochs(self, model: DataFrame, n: int) -> Iterator[tuple[int, DataFrame, float | None]]:
+        """Run ``n`` steps; yields (epoch, model, mean loss of all triplets the step started from)."""
+        spark = model.sparkSession
+        for epoch in range(1, n + 1):
+            with temporary(spark) as keep:
+                before, model = model, keep(self.step(model), "model")
+            if epoch > 1:
+                discard(before)
+            total, rows = model.agg(F.sum("_sum_train_loss"), F.sum("_n_train_loss")).first()
+            yield epoch, model, _ratio(total, rows)

@@ -288,6 +288,31 @@ ig AS (SELECT id, {", ".join(f"avg(m{k}) AS g{k}" for k in range(4))}, avg(mb) A
 )
 
 
+#: The same over every triplet.
+EVERY = PAIRS + """,
+triplets AS (SELECT l.customer_id, l.product_id AS positive, o.product_id AS negative
+  FROM pairs l JOIN pairs o ON l.customer_id = o.customer_id AND l.quantity_sum > 25 AND NOT o.quantity_sum > 25)"""
+EVERY_BPR = BPR.replace(PAIRS + "," + TRIPLETS, EVERY)
+
+
+def _network() -> str:
+    """Probability of the fixed network over the pairs, layer by layer."""
+    from tillwise.plans.queries import fixed_layers
+
+    parts = [f"""WITH {PAIRS},{_start(8)},
+x0 AS (SELECT p.customer_id, p.product_id, list_concat(u.f, i.f, list_transform(range(1, 9), lambda k: u.f[k] * i.f[k])) AS x
+  FROM pairs p JOIN (SELECT id, [{", ".join(f"f{k}" for k in range(8))}] AS f FROM u0) u ON u.id = p.customer_id
+  JOIN (SELECT id, [{", ".join(f"f{k}" for k in range(8))}] AS f FROM i0) i ON i.id = p.product_id)"""]
+    layers = fixed_layers()
+    for n, layer in enumerate(layers):
+        cells = [f"list_dot_product(list_append(x, CAST(1 AS DOUBLE)), CAST({weights} AS DOUBLE[]))" for weights in layer]
+        if n < len(layers) - 1:
+            cells = [f"1.0 / (1.0 + exp(-{c}))" for c in cells]
+        parts.append(f"x{n + 1} AS (SELECT customer_id, product_id, [{', '.join(cells)}] AS x FROM x{n})")
+    return ",\n".join(parts) + f"""
+SELECT customer_id, product_id, round(1.0 / (1.0 + exp(x[1] - x[2])), 6) AS probability FROM x{len(layers)}"""
+
+
 # -- scoring ---------------------------------------------------------------
 
 SCORES = _start(8) + f""",
@@ -555,6 +580,9 @@ FROM ({" UNION ALL ".join(f"SELECT * FROM row_{f}" for f in range(5))})""",
 train AS (SELECT customer_id, product_id, true AS is_train, label AS value FROM ratio),{_start(4)},
 {_mf_step(1, 4, 0.5, 0.02, '0.0', True, False)} {_model(1, 4)}""",
         "bpr_step": f"WITH {BPR} {_model(1, 4)}",
+        "bpr_epoch": f"WITH {EVERY_BPR} {_model(1, 4)}",
+        "bpr_epoch_loss": f"WITH {EVERY_BPR} SELECT round(avg(loss), 6) AS loss, count(*) AS triplets FROM scored",
+        "network_scores": _network(),
         "bpr_loss": f"WITH {BPR} SELECT round(avg(loss), 6) AS loss, count(*) AS triplets FROM scored",
         "score_all": f"""WITH {PAIRS},{SCORES} SELECT customer_id, count(*) AS n_items,
   round(avg(score), 6) AS mean_score, round(min(score), 6) AS least_score, round(max(score), 6) AS best_score

@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.functions.ratings import COUNT_CUTS, QUANTITY_CUTS, composite_rating, quartile_place
-from tillwise.functions.scores import array_dot, nine_decimals, sigmoid, two_decimals
+from tillwise.functions.scores import (
+    array_dot,
+    network_probability,
+    nine_decimals,
+    sigmoid,
+    two_decimals,
+)
 from tillwise.operators import curate as cu
 from tillwise.operators import encode, evaluation, features, ranking, sampling, splits, triplets
 from tillwise.plans import crossval, learners, scoring
@@ -506,6 +512,25 @@ def bpr_loss(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _whole_bpr(spark: SparkSession, folder: str) -> tuple[mf.WholeRanking, DataFrame]:
+    pairs = _written_pairs(spark, folder)
+    ranker = mf.WholeRanking(pairs, USER, ITEM, _liked(), mf.Settings(rank=4, rate=0.5))
+    return ranker, materialize(mf.start_model(pairs.select(USER).distinct(), pairs.select(ITEM).distinct(), 4), "model")
+
+
+def bpr_epoch(spark: SparkSession, folder: str) -> DataFrame:
+    """One step over every triplet of liked and other products."""
+    ranker, start = _whole_bpr(spark, folder)
+    return _rounded_model(ranker.step(start), 4)
+
+
+def bpr_epoch_loss(spark: SparkSession, folder: str) -> DataFrame:
+    ranker, start = _whole_bpr(spark, folder)
+    return ranker.sums(start).where("liked").agg(
+        F.round(F.sum("loss") / F.sum("n"), 6).alias("loss"), F.sum("n").alias("triplets")
+    )
+
+
 def svd_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
     rated = features.equal_width_ratings(_written_pairs(spark, folder))
     rows = materialize(
@@ -549,7 +574,7 @@ def _network(spark: SparkSession, folder: str):
     rows = materialize(
         learners.crossed_features(labelled, users, items, USER, ITEM), "crossed"
     )
-    network = learners.fit_network(rows, "label", 8, hidden=(16, 8), rounds=8)
+    network = learners.fit_network(rows, "label", 8)
     return pairs, users, items, rows, network
 
 
@@ -564,6 +589,26 @@ def ncf_topn(spark: SparkSession, folder: str) -> DataFrame:
     return learners.network_top_n(network, users, items, 5, USER, ITEM, exclude=pairs, below=1.0)
 
 
+#: Sizes of a small network with fixed weights, from (p, q, p * q) to two outputs.
+NETWORK = (3 * RANK, 8, 4, 2)
+
+
+def fixed_layers() -> list[list[list[float]]]:
+    """Seeded weights: for each layer and output the weights and, last, the intercept."""
+    return [
+        [[((53 * n + 31 * j + 17 * k) % 97) / 97 - 0.5 for k in range(n_in + 1)] for j in range(n_out)]
+        for n, (n_in, n_out) in enumerate(zip(NETWORK, NETWORK[1:], strict=False))
+    ]
+
+
+def network_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The forward pass of a network with fixed weights over all pairs."""
+    pairs = _written_pairs(spark, folder)
+    users, items = _fixed_factors(pairs)
+    rows = learners.crossed_arrays(pairs.select(USER, ITEM), users, items, USER, ITEM)
+    return rows.select(USER, ITEM, F.round(network_probability("features", fixed_layers()), 6).alias("probability"))
+
+
 # -- scoring and evaluation -----------------------------------------------
 
 def score_all(spark: SparkSession, folder: str) -> DataFrame:
@@ -712,7 +757,7 @@ def all_queries() -> dict[str, Query]:
         catalogues, cardinalities, oov_lookup, positive_pairs, complement, rated_triplets,
         triplet_counts, catalogue_triplets, synthetic_pairs, grown_dataset, tt_dataset,
         negative_feedback, ncf_dataset, ratio_negatives, ratio_negatives_unseen, binary_matrix, sparse_matrix, mf_step, mf_epochs,
-        logistic_step, bpr_step, bpr_loss, svd_cross_validation, als_ratings, als_topn, ncf_two_stage, ncf_topn, score_all, vector_topk,
+        logistic_step, bpr_step, bpr_loss, bpr_epoch, bpr_epoch_loss, network_scores, svd_cross_validation, als_ratings, als_topn, ncf_two_stage, ncf_topn, score_all, vector_topk,
         topn_table, regression_error, binary_metrics, topk_confusion, fold_average, auc, map_at_k,
         stream_mean, stream_ids,
     ]
