@@ -111,6 +111,39 @@ def test_rules_equal_plain_python(spark, folder):
     assert {r.verdict for r in urls.judge(pages.where("url is null")).collect()} == {"allow"}
 
 
+def test_scores_of_the_url_model_equal_plain_counts(spark):
+    """Counts of contexts of up to four bytes in dicts, mixed order by order."""
+    good, bad = ["http://aa.org/x1", "http://ab.org/x22"], ["http://ba.com/de/7", "http://bb.com/de/8"]
+    table = urls.count(
+        spark.createDataFrame([(u, 0) for u in good] + [(u, 1) for u in bad], "url string, side int")
+    )
+
+    def grams(u):
+        data = b"\0" * urls.ORDER + u.encode() + bytes([urls.END])
+        for at in range(urls.ORDER, len(data)):
+            for k in range(urls.ORDER + 1):
+                yield at - urls.ORDER, (k, data[at - k : at]), data[at]
+
+    counts = []
+    for side in (good, bad):
+        seen = {}
+        for u in side:
+            for _, context, byte in grams(u):
+                seen[context] = seen.get(context, 0) + 1
+                seen[context, byte] = seen.get((context, byte), 0) + 1
+        counts.append(seen)
+    asked = [*good, *bad, "http://aa.com/de/1", "", "ftp://zz", "http://ab.org/x2/ü"]
+    for u, score in zip(asked, urls.ratio(asked, table), strict=True):
+        logs = []
+        for seen in counts:
+            p = {}
+            for at, context, byte in grams(u):
+                n = seen.get(context, 0)
+                p[at] = (seen.get((context, byte), 0) + urls.WEIGHT * p.get(at, 1 / 256)) / (n + urls.WEIGHT)
+            logs.append(np.log(list(p.values())))
+        assert score == pytest.approx((logs[0] - logs[1]).mean(), abs=1e-9)
+
+
 def test_the_model_tells_the_sides_apart(spark):
     r = random.Random(5)
     good = [f"http://news{r.randrange(99)}.org/{r.randrange(9999)}" for _ in range(400)]

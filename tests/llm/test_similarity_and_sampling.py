@@ -90,6 +90,26 @@ def test_a_hot_group_is_cut_into_homes(spark, monkeypatch):
     assert similar(spark.createDataFrame(rows, "doc_id long, text string")) == plain_similar(rows)
 
 
+def test_long_sets_are_told_apart_by_their_whole_profiles(spark, monkeypatch):
+    """Long texts that all share a passage: one large candidate component before the whole profiles are read."""
+    monkeypatch.setattr(jaccard, "HOME_BYTES", 40_000)
+    monkeypatch.setattr(jaccard, "classes", lambda counts: np.zeros(len(counts), dtype=np.uint8))
+    r = random.Random(2)
+    passage = [f"p{i}" for i in range(300)]
+    bases = [[f"w{r.randrange(10**6)}" for _ in range(r.choice([1200, 1300, 2500, 9000]))] for _ in range(10)]
+    rows = []
+    for base in bases:
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(r.choice([0, 5, 40, 300])):
+                copy[r.randrange(len(copy))] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy + passage)))
+    assert similar(spark.createDataFrame(rows, "doc_id long, text string")) == plain_similar(rows)
+    h = np.random.default_rng(1).integers(2**63, size=20_000, dtype=np.uint64)
+    whole = jaccard.profile(h)
+    assert len(whole) == 4096 and (jaccard.folded(whole, 64) == np.bincount((h % np.uint64(64)).astype(int), minlength=64)).all()
+
+
 def test_similar_edges(edge, nothing):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
     assert similar(edge) == plain_similar(rows)

@@ -53,6 +53,57 @@ def test_a_long_text_is_counted_in_pieces_like_a_whole(monkeypatch):
     assert whole[0].tolist() == cut[0].tolist() and np.allclose(whole[1], cut[1])
 
 
+def plain_shares(text):
+    """Slot -> share of the one- and two-word n-grams, a constant and the share of repeated words."""
+    w = text.encode().split()
+    out = {1 << quality.BITS: 1.0}
+    if w:
+        h = [zlib.crc32(x) for x in w]
+        two = [((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64) >> (64 - quality.BITS) for a, b in zip(h, h[1:])]
+        grams = collections.Counter([x % (1 << quality.BITS) for x in h] + two)
+        total = sum(grams.values())
+        out |= {g: math.sqrt(n / total) for g, n in grams.items()}
+        out[(1 << quality.BITS) + 1] = 1 - len(set(w)) / len(w)
+    return out
+
+
+def plain_model(rows):
+    """Follow-the-regularised-leader updates weight by weight."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - math.copysign(quality.L1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for text, y in rows:
+            x = plain_shares(text)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z}
+
+
+def test_quality_scores_equal_a_plain_recount(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choices(["good", "fine", "a", "b"] if i % 2 else ["buy", "now", "a", "b"], k=r.randrange(25))) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 40)], "doc_id long, quality int")
+    held = {i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2}
+    order = [x.id for x in spark.range(40).orderBy(F.xxhash64(F.lit(7), "id"), "id").collect()]
+    model = plain_model([(texts[i], i % 2) for i in order if i not in held])
+    rows = quality.rate(docs, labels).collect()
+    for row in rows:
+        dot = sum(model.get(i, 0.0) * v for i, v in plain_shares(texts[row.doc_id]).items())
+        want = 1 / (1 + math.exp(-dot))
+        assert row.score == pytest.approx(want, abs=1e-4) and row.held_out == (row.doc_id in held)
+    assert len({round(row.score, 3) for row in rows}) > 20
+
+
 # -- language model ----------------------------------------------------------
 
 

@@ -37,12 +37,12 @@ from tillwise.scratch import materialize, temporary
 
 SHINGLE = 3
 PERCENT = 90
-#: Counters of the shingle frequencies, and bins of the profile of a set.
-COUNTERS, BINS = 1 << 22, 64
+#: Counters of the shingle frequencies, and bins of the short and of the longest profile of a set.
+COUNTERS, BINS, MOST_BINS = 1 << 22, 64, 1 << 16
 #: Groups of a block of a long list, and pairs of groups that are compared at once.
 BLOCK, PAIRS = 1_024, 200_000
 #: Bytes of the sets of a home; a set counts as at least the second number.
-HOME_BYTES, LEAST_BYTES = 2 << 20, 1 << 10
+HOME_BYTES, LEAST_BYTES = 8 << 20, 1 << 10
 
 TABLE = letters(BLANKS)
 
@@ -99,16 +99,29 @@ def classes(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= floor, 0, 2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
-def profile(hashes: np.ndarray) -> bytes:
-    """How many shingles of a set fall into each of ``BINS`` bins, 255 standing for that many or more."""
-    return np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+def profile(hashes: np.ndarray) -> np.ndarray:
+    """How many shingles of a set fall into each bin, 255 standing for that many or more; about eight to a bin."""
+    n = len(hashes)
+    bins = BINS if n <= 8 * BINS else min(MOST_BINS, 1 << (n // 8 - 1).bit_length())
+    return np.minimum(np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8)
+
+
+def folded(profile: np.ndarray, bins: int) -> np.ndarray:
+    """The counts in fewer bins; where one is not known, it is beyond any set."""
+    counts = np.where(profile == 255, 1 << 40, profile.astype(np.int64))
+    return counts.reshape(-1, bins).sum(axis=0)
+
+
+def short(profile: np.ndarray) -> np.ndarray:
+    """The profile in ``BINS`` bins, again with 255 at most."""
+    return np.minimum(folded(profile, BINS), 255).astype(np.uint8)
 
 
 def described(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Every row of docs (doc_id, _text, row keys) with its set in short instead of the text.
 
     ``n`` is the size, ``key`` the set in 128 bits, ``prefix`` its first
-    shingles in the common order, ``profile`` its counts by bin.
+    shingles in the common order, ``profile`` and ``short`` its counts by bin.
     """
     order = docs.sparkSession.sparkContext.broadcast(classes(frequencies(docs.select("_text"), width)))
 
@@ -120,44 +133,46 @@ def described(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
                     s[np.lexsort((s, order.value[counter_of(s)]))[: prefix_length(len(s), percent)]].view(np.int64) if len(s) else s.view(np.int64)
                     for s in sets
                 ]
+                profiles = [profile(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(c) for c in ("doc_id", *KEYS)],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.array(prefixes, pa.list_(pa.int64())),
-                        pa.array([profile(s) for s in sets], pa.binary()),
+                        pa.array([f.tobytes() for f in profiles], pa.binary()),
+                        pa.array([short(f).tobytes() for f in profiles], pa.binary()),
                     ],
-                    names=["doc_id", *KEYS, "n", "key", "prefix", "profile"],
+                    names=["doc_id", *KEYS, "n", "key", "prefix", "profile", "short"],
                 )
         give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, _k1 long, _k2 long, n long, key binary, prefix array<long>, profile binary"
+    out = f"doc_id {kind}, _k1 long, _k2 long, n long, key binary, prefix array<long>, profile binary, short binary"
     return bounded(docs).mapInArrow(describe, out)
 
 
 def candidates(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) of groups that connect every two groups which may hold similar sets.
 
-    ``sets`` has ``gid``, ``n``, ``prefix`` and ``profile``.  The groups that
+    ``sets`` has ``gid``, ``n``, ``prefix`` and ``short``.  The groups that
     share a shingle are one list, a row; a long list is cut into blocks, of
     which every two meet in a list of their own.  A list compares its groups
     and leaves one link for each that has a partner, not one for each pair.
     """
     groups = sets.groupBy("n", "prefix").agg(
-        F.min("gid").alias("gid"), F.when(F.count(F.lit(1)) == 1, F.min("profile")).alias("profile")
+        F.min("gid").alias("gid"), F.when(F.count(F.lit(1)) == 1, F.min("short")).alias("short")
     )
-    rows = groups.select("gid", "n", "profile", F.posexplode("prefix").alias("place", "token"))
+    rows = groups.select("gid", "n", "short", F.posexplode("prefix").alias("place", "token"))
     rows = materialize(rows, "prefixes")
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     blocks = F.ceil(F.col("df") / BLOCK).cast("bigint")
     rows = rows.join(shared, "token").withColumn("blocks", F.when(F.col("df") <= 2 * BLOCK, F.lit(1).cast("bigint")).otherwise(blocks))
     own = F.pmod(F.xxhash64("gid"), "blocks")
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("token", "gid", "n", "place", "profile", own.alias("own"), other)
+    rows = rows.select("token", "gid", "n", "place", "short", own.alias("own"), other)
     met = rows.groupBy("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    lists = met.agg(F.collect_list(F.struct("gid", "n", "place", "profile")).alias("groups")).where(F.size("groups") > 1)
+    lists = met.agg(F.collect_list(F.struct("gid", "n", "place", "short")).alias("groups")).where(F.size("groups") > 1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +194,7 @@ def _connected(lists: pa.ListArray, percent: int) -> tuple[np.ndarray, np.ndarra
     gid, n, place = (entries.field(c).to_numpy().astype(np.int64) for c in ("gid", "n", "place"))
     # A group of several sets has no profile, which leaves room for anything.
     open_ = b"\xff" * BINS
-    profile = np.frombuffer(b"".join([p or open_ for p in entries.field("profile").to_pylist()]), dtype=np.uint8).reshape(-1, BINS)
+    profile = np.frombuffer(b"".join([p or open_ for p in entries.field("short").to_pylist()]), dtype=np.uint8).reshape(-1, BINS)
     size = lists.value_lengths().to_numpy()
     start = np.cumsum(size) - size
     label = np.arange(len(gid))
@@ -241,7 +256,7 @@ def verify(members: pa.Table, percent: int) -> pa.Table:
     root, home, copies, size = (members.column(c).to_numpy() for c in ("root", "home", "copies", "n"))
     hashes = np.frombuffer(b"".join(members.column("tokens").to_pylist()), dtype=np.uint64)
     start = np.cumsum(size) - size
-    profiles = np.frombuffer(b"".join([profile(hashes[s : s + n]) for s, n in zip(start, size, strict=True)]), dtype=np.uint8).reshape(-1, BINS)
+    profiles = np.array([short(profile(hashes[s : s + n])) for s, n in zip(start, size, strict=True)]).reshape(-1, BINS)
     tokens = np.unique(hashes, return_inverse=True)[1]
     marked = np.zeros(int(tokens.max(initial=-1)) + 1, dtype=bool)
     two_homes = len(members) > 0 and members.column("i")[0].as_py() != members.column("j")[0].as_py()
@@ -290,35 +305,94 @@ def with_tokens(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return bounded(docs.join(wanted, KEYS).select("_text", *names)).mapInArrow(make, f"{kinds}, tokens binary")
 
 
-def links(docs: DataFrame, sets: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(key, near, links): for sets that are linked with others, a set they are connected to, and their links in a unit."""
-    roots = components(materialize(candidates(sets, percent), "candidates"))
-    roots = materialize(roots.withColumnRenamed("node", "gid"), "roots")
-    several = sets.groupBy("gid").count().where("count > 1").select("gid", F.col("gid").alias("root"))
-    places = checked(roots.unionByName(several.join(roots.select("gid"), "gid", "left_anti")), "places")
-    wanted = materialize(sets.join(places, "gid").select("root", "key", "n", "copies", *KEYS), "wanted")
-    bytes_ = F.greatest(F.lit(LEAST_BYTES), F.col("n") * 8)
-    total = wanted.agg(F.sum(bytes_)).first()[0] or 0
-    units = max(1, math.ceil(total / HOME_BYTES))
-    full = wanted.groupBy("root").agg(F.ceil(F.sum(bytes_) / HOME_BYTES).alias("fan")).where("fan > 1")
+def refine(members: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) between the groups of one root that the whole profiles leave room for."""
+    members = members.take(pa.array(np.argsort(members.column("n").to_numpy(), kind="stable")))
+    gid, home, size = (members.column(c).to_numpy() for c in ("gid", "home", "n"))
+    profiles = [np.frombuffer(f, dtype=np.uint8) for f in members.column("profile").to_pylist()]
+    shorts = np.array([short(f) for f in profiles]).reshape(-1, BINS)
+    two_homes = len(gid) > 0 and members.column("i")[0].as_py() != members.column("j")[0].as_py()
+    label = np.arange(len(gid))
+    for a in range(len(gid)):
+        near = np.arange(a + 1, a + 1 + int(np.searchsorted(size[a + 1 :], 100 * size[a] // percent, side="right")))
+        near = near[(gid[near] != gid[a]) & (label[near] != label[a])]
+        if two_homes:
+            near = near[home[near] != home[a]]
+        near = near[_roomy(shorts[near], shorts[a], size[near] + size[a], percent)]
+        for b in near.tolist():
+            bins = min(len(profiles[a]), len(profiles[b]))
+            least = np.minimum(folded(profiles[a], bins), folded(profiles[b], bins)).sum() if bins > BINS else size[a]
+            if (100 + percent) * least >= percent * (size[a] + size[b]):
+                _join(label, np.array([a]), np.array([b]))
+    linked = np.flatnonzero(label != np.arange(len(gid)))
+    return pa.table({"a": pa.array(gid[linked]), "b": pa.array(gid[label[linked]])})
+
+
+def _in_homes(wanted: DataFrame, bytes_: Column) -> DataFrame:
+    """``wanted`` with a ``fan``, the homes that its root needs, and a ``home`` by its key."""
+    full = wanted.groupBy("root").agg(F.ceil(F.sum(F.greatest(F.lit(LEAST_BYTES), bytes_)) / HOME_BYTES).alias("fan"))
     fan = F.coalesce("fan", F.lit(1).cast("bigint"))
-    wanted = wanted.join(checked(full, "full"), "root", "left").select(
-        *KEYS, "root", "key", "n", "copies", fan.alias("fan"), F.pmod(F.xxhash64("key"), fan).alias("home")
-    )
-    tokens = materialize(with_tokens(docs, checked(wanted, "homes"), width), "tokens")
-    # Small roots share units; every two homes of a large one are a unit.
+    joined = wanted.join(checked(full.where("fan > 1"), "full"), "root", "left")
+    return joined.select(*wanted.columns, fan.alias("fan"), F.pmod(F.xxhash64("key"), fan).alias("home"))
+
+
+def _in_units(placed: DataFrame, units: int) -> DataFrame:
+    """Rows by ``unit``, ``i`` and ``j``: small roots share units, and every two homes of a large one are a unit."""
     alone = F.col("fan") > 1
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("fan") - 1)).alias("other")
-    dealt = tokens.select("*", other).select(
+    return placed.select("*", other).select(
         F.when(alone, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(units))).alias("unit"),
         F.when(alone, F.least("home", "other")).otherwise(-1).alias("i"),
         F.when(alone, F.greatest("home", "other")).otherwise(-1).alias("j"),
-        "root", "home", "key", "n", "copies", "tokens",
-    )
+        *[c for c in placed.columns if c != "fan"],
+    )
+
+
+def _places(edges: DataFrame, several: DataFrame) -> DataFrame:
+    """(gid, root): the candidate component of each group that is linked, or that holds several sets itself."""
+    roots = materialize(components(edges).withColumnRenamed("node", "gid"), "roots")
+    return materialize(roots.unionByName(several.join(roots.select("gid"), "gid", "left_anti")), "places")
+
+
+def _wanted(sets: DataFrame, percent: int) -> DataFrame:
+    """Sets that may be similar to others, by the ``root`` of their candidate component.
+
+    Long sets fill the few bins of a short profile too evenly, so that they all
+    look alike; the large components that come of it are taken apart by the
+    whole profiles.
+    """
+    several = sets.groupBy("gid").count().where("count > 1").select("gid", F.col("gid").alias("root"))
+    places = _places(materialize(candidates(sets, percent), "candidates"), several)
+    wanted = materialize(sets.join(places, "gid").select("root", "gid", "key", "n", "copies", "profile", *KEYS), "wanted")
+    sums = wanted.groupBy("root").agg(F.sum(F.greatest(F.lit(LEAST_BYTES), F.col("n") * 8)).alias("bytes"))
+    large = checked(sums.where(F.col("bytes") > HOME_BYTES).select("root"), "large")
+    if large.isEmpty():
+        return wanted.drop("profile", "gid")
+    of_large = wanted.join(large, "root", "left_semi")
+    placed = _in_homes(of_large.select("root", "gid", "key", "n", "profile"), F.octet_length("profile"))
+
+    def solve(members: pa.Table) -> pa.Table:
+        return refine(members, percent)
+
+    # Roots are compared each for itself here.
+    units = _in_units(placed.drop("key"), 1).groupBy("root", "unit", "i", "j").applyInArrow(solve, "a long, b long")
+    own = several.join(of_large.select("gid").distinct(), "gid", "left_semi")
+    parts = _places(materialize(units.distinct(), "refined"), own)
+    taken = of_large.drop("root").join(parts, "gid").select(*wanted.columns)
+    return wanted.join(large, "root", "left_anti").unionByName(taken).drop("profile", "gid")
+
+
+def links(docs: DataFrame, sets: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(key, near, links): for sets that are linked with others, a set they are connected to, and their links in a unit."""
+    wanted = materialize(_wanted(sets, percent), "wanted")
+    total = wanted.agg(F.sum(F.greatest(F.lit(LEAST_BYTES), F.col("n") * 8))).first()[0] or 0
+    placed = checked(_in_homes(wanted, F.col("n") * 8), "homes")
+    tokens = materialize(with_tokens(docs, placed, width), "tokens")
 
     def solve(members: pa.Table) -> pa.Table:
         return verify(members, percent)
 
+    dealt = _in_units(tokens, max(1, math.ceil(total / HOME_BYTES)))
     return dealt.groupBy("unit", "i", "j").applyInArrow(solve, "key binary, near binary, links long")
 
 
@@ -344,9 +418,10 @@ def similar(
             F.count(F.lit(1)).alias("copies"),
             F.min("doc_id").alias("least"),
             F.min("profile").alias("profile"),
+            F.min("short").alias("short"),
             F.min(F.struct(*KEYS)).alias("at"),
         )
-        .select("key", "n", "prefix", "profile", "copies", "least", "at.*", F.xxhash64("n", "prefix").alias("gid")),
+        .select("key", "n", "prefix", "profile", "short", "copies", "least", "at.*", F.xxhash64("n", "prefix").alias("gid")),
         "sets",
     )
     with temporary(docs.sparkSession) as keep:
