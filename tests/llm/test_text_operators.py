@@ -200,7 +200,7 @@ def test_bpe_equals_the_tokenizers_library(documents):
     want = lib.encode_batch(texts, add_special_tokens=False)
     own = bpe.WordBpe(bpe.VOCABULARY)
     for text, e, ids in zip(texts, want, own.encode(texts), strict=True):
-        assert ids == e.ids, text
+        assert ids == e.ids and own.text_of(ids) == " ".join(map(str, e.ids)), text
         assert own.decode(ids) == lib.decode(e.ids, skip_special_tokens=False)
 
 
@@ -214,6 +214,8 @@ def test_long_words_are_merged_alone_like_the_library():
     start = time.perf_counter()
     assert own.encode(["".join(r.choices("etaoinshrdlu", k=200_000))])[0]
     assert time.perf_counter() - start < 15
+    some = own.encode(["the of"])[0]
+    assert own.decode([-(10**9), *some, 10**9]) == own.decode(some)
 
 
 def test_bpe_forgets_without_a_difference(monkeypatch):

@@ -14,7 +14,6 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Callable, Iterable, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,8 @@ from tillwise.llm.arrow import texts, with_columns
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 NONE = np.int64(2**62)
-Ids = tuple[int, ...]
+#: Ids side by side in four bytes each: one object however many they are, and none that the collector follows.
+Ids = bytes
 #: Letters of the words, and of the white-space separated pieces, whose encoding a worker remembers at least.
 REMEMBERED = 500_000
 #: Leaves of a word from which on it is merged alone.
@@ -93,6 +93,9 @@ class WordBpe:
         self.blank = regex.compile(white + "+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.ranks = {code: rank for rank, code in reversed(list(enumerate((pairs[:, 0] * self.wide + pairs[:, 1]).tolist())))}
+        # By id; none for numbers that are no id.
+        self.named = [self.names.get(i) for i in range(max(self.names) + 1)]
+        self.shown = [str(i) for i in range(len(self.named))]
         self.words, self.pieces = Memory(), Memory()
 
     def place(self, codes: np.ndarray) -> None:
@@ -238,12 +241,12 @@ class WordBpe:
             symbols = symbols[symbols >= 0]
         starts = np.cumsum(size) - size
         leaves = np.where(size > 1, 1 << np.ceil(np.log2(np.maximum(size - 1, 1))).astype(np.int64), 1)
-        learnt: list[Ids] = [()] * len(words)
+        learnt: list[Ids] = [b""] * len(words)
         for n in np.unique(leaves).tolist():
             group = np.flatnonzero(leaves == n)
             if n >= LONG:
                 for w in group.tolist():
-                    learnt[w] = tuple(self.merge_long(symbols[starts[w] : starts[w] + size[w]].tolist()))
+                    learnt[w] = np.array(self.merge_long(symbols[starts[w] : starts[w] + size[w]].tolist()), dtype=np.int32).tobytes()
                 continue
             step = max(1, LEAVES_AT_ONCE // n)
             for at in range(0, len(group), step):
@@ -254,11 +257,11 @@ class WordBpe:
                 grid[row, column] = symbols[np.repeat(starts[part], size[part]) + column]
                 grid = self.merge(grid, n)
                 kept = grid >= 0
-                ids = grid[kept].tolist()
-                upto = np.cumsum(kept.sum(axis=1)).tolist()
+                ids = grid[kept].astype(np.int32).tobytes()
+                upto = (4 * np.cumsum(kept.sum(axis=1))).tolist()
                 a = 0
                 for w, b in zip(part.tolist(), upto, strict=True):
-                    learnt[w] = tuple(ids[a:b])
+                    learnt[w] = ids[a:b]
                     a = b
         return learnt
 
@@ -277,8 +280,7 @@ class WordBpe:
         """Encode white-space separated pieces."""
         cut = [[p] if p.isalpha() else self.word.findall(p) for p in pieces]
         known = self.words.recall({w for words in cut for w in words}, self.learn_words)
-        for words in cut:
-            yield known[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(known.__getitem__, words)))
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
 
     def encode(self, batch: Sequence[str]) -> list[list[int]]:
         """The ids of each text."""
@@ -290,7 +292,7 @@ class WordBpe:
                 for i, part in enumerate(self.cut.split(text)):
                     if i % 2:
                         # A special token keeps a leading blank, which no piece of a text has.
-                        special[" " + part] = (self.special[part],)
+                        special[" " + part] = np.int32(self.special[part]).tobytes()
                         parts.append(" " + part)
                     else:
                         parts.extend(self.split(part))
@@ -300,11 +302,18 @@ class WordBpe:
         known = self.pieces.recall(set().union(*cut).difference(special), self.learn_pieces)
         if special:
             known = known | special
-        return [list(chain.from_iterable(map(known.__getitem__, parts))) for parts in cut]
+        return [np.frombuffer(b"".join(map(known.__getitem__, parts)), dtype=np.int32).tolist() for parts in cut]
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def text_of(self, ids: Sequence[int]) -> str:
+        """The ids as decimal numbers, joined by spaces."""
+        return " ".join(map(self.shown.__getitem__, ids))
+
+    def decode(self, ids: Sequence[int]) -> str:
         """The tokens joined by spaces, special ones included; unknown ids are skipped."""
-        return " ".join([name for name in map(self.names.get, ids) if name is not None])
+        try:
+            return " ".join(map(self.named.__getitem__, ids))
+        except (IndexError, TypeError):
+            return " ".join([name for name in map(self.names.get, ids) if name is not None])
 
 
 @functools.lru_cache(maxsize=2)
@@ -338,7 +347,7 @@ def digests(docs: DataFrame, text: str = "text", path: str = VOCABULARY, doc_id:
             found = bpe.encode(texts(batch, "_text"))
             return [
                 [len(ids) for ids in found],
-                [hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() for ids in found],
+                [hashlib.sha256(bpe.text_of(ids).encode()).hexdigest() for ids in found],
                 [hashlib.sha256(bpe.decode(ids).encode()).hexdigest() for ids in found],
             ]
 
