@@ -2,6 +2,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -402,3 +403,32 @@ def test_implicit_factors_equal_dense_solves(spark, hot):
             assert np.allclose(v, expected[k])
     named = learners.Implicit(df.select(F.col("u").cast("string"), F.concat(F.lit("x"), "i").alias("i"), "s"), "u", "i", "s", rank=2)
     assert named.fit(1)[0].count() == len(want[0])
+
+
+@pytest.mark.parametrize("below", [None, 0.2])
+def test_boxes_find_the_best_as_all_scores_do(below):
+    rng = np.random.default_rng(6)
+    q = np.round(rng.normal(size=(3000, 3)), 1)  # many equal scores
+    q[7], bias = np.nan, np.round(rng.normal(size=3000), 1)
+    p, shift = np.round(rng.normal(size=(40, 3)), 1), np.round(rng.normal(size=40), 1)
+    gone = np.array([(u, i) for u in range(0, 40, 3) for i in range(u, 3000, 7)]).T
+    boxes = scoring.Boxes(scoring.Block(pa.array(np.arange(3000)), q, bias))
+    scores = np.round(p @ q.T + bias + shift[:, None], 9)
+    scores[:, 7] = scores[tuple(gone)] = -np.inf
+    if below is not None:
+        scores[scores >= below] = -np.inf
+    for k in (1, 6, 200):
+        row, at, score, position = boxes.search(p, shift, k, np.full(40, -np.inf), below, gone)
+        want = [np.lexsort((np.arange(3000), -s))[: min(k, np.isfinite(s).sum())] for s in scores]
+        assert [at[row == u].tolist() for u in range(40)] == [w.tolist() for w in want]
+        assert position.tolist() == [n + 1 for w in want for n in range(len(w))]
+        assert np.round(score, 9) == pytest.approx(np.concatenate([s[w] for s, w in zip(scores, want, strict=True)]), abs=2e-9)
+
+
+def test_excluded_places_meet_no_items(spark, users, items, monkeypatch):
+    """A row with an item block is not shuffled once more to meet the excluded places."""
+    met, joined = [], scoring.Catalogue.joined
+    monkeypatch.setattr(scoring.Catalogue, "joined", lambda self, others, n: met.append(others.columns) or joined(self, others, n))
+    bought = spark.createDataFrame([(1, 1)], f"{U} bigint, {I} bigint")
+    scoring.top_n(users, items, 3, exclude=bought, slice_bytes=5 * 8 * 9)
+    assert len(met) == 2 and all("gone" in columns for columns in met)
