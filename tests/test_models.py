@@ -432,3 +432,22 @@ def test_excluded_places_meet_no_items(spark, users, items, monkeypatch):
     bought = spark.createDataFrame([(1, 1)], f"{U} bigint, {I} bigint")
     scoring.top_n(users, items, 3, exclude=bought, slice_bytes=5 * 8 * 9)
     assert len(met) == 2 and all("gone" in columns for columns in met)
+
+
+@pytest.mark.parametrize("steep", [0.5, 30.0])
+def test_screened_network_scores_are_the_dense_ones(steep):
+    """Also where the network saturates and many rounded probabilities are equal."""
+    rng = np.random.default_rng(8)
+    layers = [(rng.normal(size=(b, a)) * steep, rng.normal(size=b)) for a, b in ((9, 12), (12, 5), (5, 2))]
+    scorer = scoring.network_probability(layers)
+    items = scoring.Block(pa.array(np.arange(2500)), np.round(rng.normal(size=(2500, 3)), 1), np.zeros(2500))
+    items.factors[11] = np.nan
+    rows = scoring.Block(pa.array(np.arange(6)), rng.normal(size=(6, 3)), np.zeros(6))
+    rows.factors[5] = np.nan
+    gone = np.array([(u, i) for u in range(4) for i in range(u, 2500, 5)]).T
+    for below in (None, 1.0, 0.6):
+        for reach in (np.full(6, -np.inf), np.full(6, 0.55)):
+            some = (rows, items, scorer, 7, reach, below, gone)
+            for a, b in zip(scoring._screened(*some), scoring._dense(*some), strict=True):
+                assert a.tolist() == pytest.approx(b.tolist(), abs=2e-9)
+    assert len(scoring._screened(rows, items, scorer, 7, np.full(6, -np.inf), None, gone)[0]) == 35
