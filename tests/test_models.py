@@ -451,3 +451,20 @@ def test_screened_network_scores_are_the_dense_ones(steep):
             for a, b in zip(scoring._screened(*some), scoring._dense(*some), strict=True):
                 assert a.tolist() == pytest.approx(b.tolist(), abs=2e-9)
     assert len(scoring._screened(rows, items, scorer, 7, np.full(6, -np.inf), None, gone)[0]) == 35
+
+
+def test_places_are_counted_like_sorted_scores(monkeypatch):
+    """Scores in bins, with equal ones, thresholds at both ends and bins too narrow to tell."""
+    rng = np.random.default_rng(3)
+    spread = rng.normal(size=20_000)
+    spread[:500] = spread[500]
+    for scores in (spread, spread * 1e-9, np.full(50, 0.25), np.append(spread, np.inf)):
+        own = np.round(np.concatenate([scores[:40], [scores.min(), scores[:50].max() + 1]]), 9)
+        ordered = np.sort(np.round(scores, 9))
+        left = np.searchsorted(ordered, own, "left")
+        below, equal = scoring._places(scores.copy(), own)
+        assert below.tolist() == left.tolist() and equal.tolist() == (np.searchsorted(ordered, own, "right") - left).tolist()
+    sorted_ones, sort = [], np.sort
+    monkeypatch.setattr(scoring.np, "sort", lambda a, **k: sorted_ones.append(len(a)) or sort(a, **k))
+    scoring._places(spread, np.round(spread[1000:1010], 9))
+    assert sum(sorted_ones) < 2_000  # not all 20,000
