@@ -468,3 +468,26 @@ def test_places_are_counted_like_sorted_scores(monkeypatch):
     monkeypatch.setattr(scoring.np, "sort", lambda a, **k: sorted_ones.append(len(a)) or sort(a, **k))
     scoring._places(spread, np.round(spread[1000:1010], 9))
     assert sum(sorted_ones) < 2_000  # not all 20,000
+
+
+def test_places_are_told_by_single_precision(monkeypatch):
+    """Only scores near a given one are worked out in double precision; all counts are those of sorted scores."""
+    rng = np.random.default_rng(5)
+    wide, ties = rng.random((20_000, 4)) - 0.5, np.round(rng.random((20_000, 4)), 1)
+    endless = wide.copy()
+    endless[7, 1] = np.inf
+    for factors in (wide, ties, wide * 1e-12, wide * 1e200, endless, wide[:1], wide[:0]):
+        block = scoring.Block(pa.array(np.arange(len(factors))), factors, np.round(rng.random(len(factors)), 2))
+        rows, shift = np.vstack([rng.random((3, 4)) + 0.1, np.zeros((1, 4))]), np.array([0.5, -1.0, 0.0, 2.0])
+        scores = [factors @ p + block.biases + b for p, b in zip(rows, shift, strict=True)]
+        own = [np.round(np.append(s[:30], [-9.0, 0.7, 9.0]), 9) for s in scores]
+        for (below, equal), s, o in zip(scoring._Places(block).count(rows, shift, own), scores, own, strict=True):
+            ordered = np.sort(np.round(s, 9))
+            left = np.searchsorted(ordered, o, "left")
+            assert below.tolist() == left.tolist()
+            assert equal.tolist() == (np.searchsorted(ordered, o, "right") - left).tolist()
+    block, sorted_ones, sort = scoring.Block(pa.array(np.arange(20_000)), wide, np.zeros(20_000)), [], np.sort
+    own = [np.round(wide[:20] @ wide[0], 9)]
+    monkeypatch.setattr(scoring.np, "sort", lambda a, **k: sorted_ones.append(len(a)) or sort(a, **k))
+    list(scoring._Places(block).count(wide[:1], np.zeros(1), own))
+    assert sum(sorted_ones) < 200  # not all 20,000
