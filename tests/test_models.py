@@ -1,3 +1,4 @@
+import math
 from pathlib import Path
 
 import numpy as np
@@ -6,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tillwise.functions.scores import network_probability as network_column
 from tillwise.operators import evaluation
 from tillwise.plans import factorization as mf
 from tillwise.plans import learners, scoring
@@ -491,3 +493,26 @@ def test_places_are_told_by_single_precision(monkeypatch):
     monkeypatch.setattr(scoring.np, "sort", lambda a, **k: sorted_ones.append(len(a)) or sort(a, **k))
     list(scoring._Places(block).count(wide[:1], np.zeros(1), own))
     assert sum(sorted_ones) < 200  # not all 20,000
+
+
+def test_network_column_works_on_batches_of_rows(spark):
+    """As plain Python, row by row; NULLs and other lengths give NULL."""
+    layers = [[[0.5, -1.0, 0.25], [2.0, 0.1, 0.0], [-0.3, 0.7, -1.0]], [[1.0, -2.0, 0.5, 0.1], [0.3, 0.4, -0.5, 0.0]]]
+    rows = [[1.0, 2.0], None, [0.5, None], [3.0], [1.0, 2.0, 3.0], [], [-900.0, 900.0], [0.0, 0.0]]
+    df = spark.createDataFrame([(n, x) for n, x in enumerate(rows)], "n int, x array<double>").repartition(1).select(
+        "n", network_column("x", layers).alias("p"))
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+
+    def plain(x):
+        if x is None or len(x) != 2 or None in x:
+            return None
+        h = [sigmoid(sum(a * b for a, b in zip(w, [*x, 1.0], strict=True))) for w in layers[0]]
+        no, yes = (sum(a * b for a, b in zip(w, [*h, 1.0], strict=True)) for w in layers[1])
+        return sigmoid(yes - no)
+
+    for r in df.collect():
+        want = plain(rows[r.n])
+        assert r.p == (None if want is None else pytest.approx(want, abs=1e-12))

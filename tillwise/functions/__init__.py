@@ -1 +1 @@
-"""Column expressions: everything here runs inside whole-stage codegen."""
+"""Column expressions: all but the network's run inside whole-stage codegen."""
