@@ -44,6 +44,25 @@ def test_hash_rank_is_the_digest_order(spark):
     assert got == {v: n for n, v in enumerate(order)}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_hash_rank_over_ranges_has_no_window_over_the_rows(spark, parts):
+    """However many ranges, the order is that of the digest, and rows are sorted by a number."""
+    import hashlib
+
+    df = spark.range(3000)
+    ranked = ranking.hash_rank(df, digest("s", "id"), "id", parts=parts)
+    got = {r.id: r["rank"] for r in ranked.collect()}
+    order = sorted(range(3000), key=lambda i: hashlib.md5(f"s:{i}".encode()).hexdigest())
+    assert got == {v: n for n, v in enumerate(order)}
+    assert "row_number" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hash_rank_of_equal_digests_goes_by_the_ties(spark):
+    df = spark.range(50)
+    got = {r.id: r["rank"] for r in ranking.hash_rank(df, F.md5(F.lit("same")), "id", parts=4).collect()}
+    assert got == {n: n for n in range(50)}
+
+
 @pytest.mark.parametrize("block", [1, 7, 65_536])
 def test_block_rank_cuts_a_hot_group(spark, block):
     rows = [(0, 3 * i) for i in range(200)] + [(u, i) for u in range(1, 6) for i in range(u)]

@@ -35,6 +35,15 @@ def test_negatives_are_disjoint_distinct_and_exactly_as_many(small):
     assert not got & as_set(small, "customer_id", "product_id")
 
 
+def test_negatives_come_in_the_order_of_their_place(small):
+    made = sampling.negative_pairs(small, 100).collect()
+    order = sorted(made, key=lambda r: (r.generation, r.position))
+    assert [r.place for r in order] == list(range(100))
+    by_place = sampling.labelled_chunks(small, sampling.negative_pairs(small, 100), 3, ["customer_id", "product_id"])
+    ranked = sampling.labelled_chunks(small, sampling.negative_pairs(small, 100).drop("place"), 3, ["customer_id", "product_id"])
+    assert as_set(by_place, *by_place.columns) == as_set(ranked, *by_place.columns)
+
+
 def test_few_negatives(small):
     made = sampling.negative_pairs(small, 3)
     assert made.count() == 3
@@ -230,3 +239,26 @@ def test_sparse_rows_hold_any_catalogue_in_bounded_lists(spark):
     assert max(len(r.codes) for r in rows) <= 100
     assert all(r.codes == sorted(set(r.codes)) and {c // 100 for c in r.codes} == {r.block} for r in rows)
     assert {(r.u, c) for r in rows for c in r.codes} == {(n % 2, 3 * n) for n in range(5000)}
+
+
+def test_large_input_is_shuffled_in_more_parts(spark, monkeypatch):
+    """A task's share of a shuffle is bounded by the input, and the session keeps its own number."""
+    from tillwise import scratch
+
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    rows = materialize(spark.range(20_000).select("id", F.md5(F.col("id").cast("string")).alias("text")))
+    monkeypatch.setattr(scratch, "BYTES_A_PARTITION", 20_000)
+    needed = -(-scratch.input_bytes(rows) // 20_000)
+    assert needed > int(before) and scratch.partitions_for(rows) == needed
+    adaptive = "spark.sql.adaptive.enabled"
+    spark.conf.set(adaptive, "false")
+    try:
+        written = materialize(rows.groupBy("id").agg(F.max("text").alias("text")))
+    finally:
+        spark.conf.set(adaptive, "true")
+    assert len(written.inputFiles()) == needed and written.count() == 20_000
+    assert spark.conf.get(key) == before
+    with pytest.raises(Exception, match="asked for"):
+        materialize(rows.groupBy("id").agg(F.max(F.raise_error(F.lit("asked for"))).alias("x")))
+    assert spark.conf.get(key) == before
