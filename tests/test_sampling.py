@@ -1,4 +1,5 @@
 import collections
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,3 +263,30 @@ def test_large_input_is_shuffled_in_more_parts(spark, monkeypatch):
     with pytest.raises(Exception, match="asked for"):
         materialize(rows.groupBy("id").agg(F.max(F.raise_error(F.lit("asked for"))).alias("x")))
     assert spark.conf.get(key) == before
+
+
+def test_unseen_draws_are_worked_out_for_their_users_alone(spark, monkeypatch):
+    """Ranges of the users of the draws only, and a result that is read from written tables without a shuffle."""
+    rows = [(u, i) for u in range(30) for i in range(40) if (u * 7 + i) % 3 == 0] + [(99, 1), (None, 2), (98, None)] * 2
+    pairs = materialize(spark.createDataFrame(rows, "customer_id bigint, product_id bigint"))
+    asked, ranges = [], sampling.unseen_ranges
+    monkeypatch.setattr(sampling, "unseen_ranges", lambda df, *a: asked.append(as_set(df, "customer_id")) or ranges(df, *a))
+    draws = spark.range(500).select(F.col("id").alias("draw"), (F.col("id") % 2 * 5).alias("customer_id"))
+    got = sampling._from_unseen(draws, pairs, "customer_id", "product_id", "s").collect()
+    assert asked == [{(0,), (5,)}]
+    weights = {}
+    for _, i in rows:
+        weights[i] = weights.get(i, 0) + 1
+    for r in got:
+        mine = [i for i in sorted(weights, key=lambda i: (i is not None, i)) if (r.customer_id, i) not in rows]
+        place = int(hashlib.md5(f"s-unseen:{r.draw}".encode()).hexdigest()[:15], 16) % sum(weights[i] for i in mine)
+        for i in mine:
+            if place < weights[i]:
+                break
+            place -= weights[i]
+        assert r.product_id == i
+    assert len(got) == 500
+    whole = sampling.ratio_negatives(pairs, 3, exclude_positives=True)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert not {tuple(r) for r in whole.where("label = 0").select("customer_id", "product_id").collect() if None not in r} & set(rows)
