@@ -80,3 +80,17 @@ def test_temporary_tables_are_deleted_and_kept_ones_stay(spark):
         inner = folder_of(kept)
     assert not os.path.exists(inner)
     assert stays.count() == 5
+
+
+def test_cross_validation_fits_all_factors(spark, folder, monkeypatch):
+    from tillwise.plans import queries
+
+    asked = {}
+
+    def spy(rows, *columns, folds=5, epochs=1, k=10):
+        asked.update(rank=columns[4].rank, folds=folds, epochs=epochs, k=k)
+        return rows
+
+    monkeypatch.setattr(queries.crossval, "cross_validate", spy)
+    queries.svd_cross_validation(spark, folder)
+    assert asked == {"rank": 50, "folds": 5, "epochs": 1, "k": 10}
