@@ -288,6 +288,30 @@ def test_network_learns_the_blocks(spark):
     assert both.agg(F.max(F.abs(F.col("score") - F.col("probability")))).first()[0] < 1e-8
 
 
+@pytest.mark.parametrize("odd", [None, math.nan, math.inf])
+def test_summary_leaves_out_blocks_and_changes_nothing(spark, odd):
+    """Items whose lengths fall off steeply; with a number that is not finite every pair of blocks is met."""
+    rng = np.random.default_rng(6)
+    q = rng.normal(size=(400, 4)) * np.exp(-np.arange(400) / 40)[:, None]
+    p, b, c = rng.normal(size=(60, 4)), rng.normal(size=60), rng.normal(size=400) * 0.01
+    if odd is not None:
+        q[300, 1] = odd
+    users, items = side(spark, U, p, b), side(spark, I, q, c)
+    met = {}
+    few = scoring.score_summary(users, items, offset=0.25, slice_bytes=7 * 8 * 20, met=met).orderBy(U).collect()
+    whole = scoring.score_summary(users, items, offset=0.25).orderBy(U).collect()
+    assert bool(met) == (odd is None) and (odd is not None or met["joined"] < met["possible"] / 2)
+    with np.errstate(invalid="ignore"):
+        scores = p @ q.T + b[:, None] + c + 0.25
+    for one, other, s in zip(few, whole, scores, strict=True):
+        assert one.n_items == other.n_items == 400
+        if odd is None:
+            assert list(one)[2:] == pytest.approx([s.mean(), s.min(), s.max()])
+            assert list(one)[2:] == pytest.approx(list(other)[2:])
+        else:
+            assert not math.isfinite(one.mean_score) and not math.isfinite(other.mean_score)
+
+
 @pytest.mark.parametrize("k", [1, 7])
 def test_bounds_leave_out_blocks_and_change_nothing(spark, k):
     """Lengths that fall off steeply: most pairs of blocks are not joined, and the table is the same."""
