@@ -451,6 +451,29 @@ def test_boxes_find_the_best_as_all_scores_do(below):
         assert np.round(score, 9) == pytest.approx(np.concatenate([s[w] for s, w in zip(scores, want, strict=True)]), abs=2e-9)
 
 
+@pytest.mark.parametrize("below", [None, 1.0])
+def test_single_precision_loses_no_item_at_an_edge(below, monkeypatch):
+    """Scores that single precision cannot tell from the bound or the k-th one are worked out, however large the biases are."""
+    rng = np.random.default_rng(9)
+    p, q = rng.normal(size=(300, 5)), rng.normal(size=(2_000, 5))
+    q[:600] = q[0] + rng.normal(size=(600, 5)) * 1e-8
+    q[600:900] = q[0]
+    shift = 1.0 - p @ q[0] + rng.choice([0.0, 1e-9, -1e-9, 3e-8], size=300)
+    shift[:40] += 1e5 - p[:40] @ q[0]
+    biases = np.zeros(2_000)
+    biases[1_000:] = -1e5
+    block = scoring.Block(pa.array(np.arange(2_000)), q, biases)
+    monkeypatch.setattr(scoring, "ROWS_IN_SINGLE", 1)
+    row, place, _, position = scoring.Boxes(block).search(p, shift, 20, np.full(300, -np.inf), below)
+    rounded = np.round(np.einsum("ij,kj->ik", p, q) + biases + shift[:, None], 9)
+    for r in range(300):
+        fit = np.flatnonzero(rounded[r] < (np.inf if below is None else below))
+        want = fit[np.lexsort((fit, -rounded[r, fit]))][:20]
+        got = place[row == r][np.argsort(position[row == r])]
+        assert rounded[r, got] == pytest.approx(rounded[r, want], abs=2e-9)
+        assert len(got) == len(want)
+
+
 def test_excluded_places_meet_no_items(spark, users, items, monkeypatch):
     """A row with an item block is not shuffled once more to meet the excluded places."""
     met, joined = [], scoring.Catalogue.joined
